@@ -29,6 +29,7 @@ WINDOW = 10
 #: Characters of windows in one broadcast automaton.
 MAX_CHARS = 24_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER_LETTERS = {c: c + 32 for c in range(0x41, 0x5B)}
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -90,7 +91,7 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     """Character offsets, in the text as it was, of word ranges."""
     import re
 
-    at = [m.span() for m in re.finditer(WORD, text)]
+    at = [m.span() for m in re.finditer(WORD, text.translate(_LOWER_LETTERS))]
     return [(at[lo][0], at[hi - 1][1]) for lo, hi in ranges]
 
 

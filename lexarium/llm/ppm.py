@@ -228,7 +228,7 @@ class Trie:
         self.count = np.concatenate(pair_values).astype(np.float32)
         self.contexts = Lookup(np.concatenate(contexts["key"]))
         for name in ("size", "escape", "short_size", "short_escape"):
-            setattr(self, name, np.concatenate(contexts[name]).astype(np.float32))
+            setattr(self, name, np.append(np.concatenate(contexts[name]), 0).astype(np.float32))  # the last stands for no context
         # the common case in one look: the whole probability of a pair of the highest order
         keys, _ = levels[ORDER]
         heads = stats[ORDER][0]
@@ -334,13 +334,16 @@ def _shards(counts: DataFrame, size: int) -> list[list[int]]:
     return shards
 
 
-def _trie(counts: DataFrame, tails: list[int], n_shards: int) -> Trie:
+def _trie(counts: DataFrame, shards: list[list[int]], k: int) -> Trie:
+    """Shard ``k``; the first also answers for tails that no learning text has."""
     grams = counts.where("gram is not null")
     low = grams.groupBy(F.col("gram").bitwiseAND((1 << 17) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     mine = None
-    if n_shards > 1:
-        mine = np.zeros(1 << 16, dtype=bool)
-        mine[tails] = True
+    if len(shards) > 1:
+        mine = np.full(1 << 16, k == 0)
+        for other, tails in enumerate(shards):
+            mine[tails] = other == k
+        tails = shards[k]
         grams = grams.join(F.broadcast(counts.sparkSession.createDataFrame([(t,) for t in tails], "tail long")), F.shiftright("gram", 9).bitwiseAND(0xFFFF) == F.col("tail"))
     own = grams.select("gram", "n").toArrow()
     return Trie(own["gram"].to_numpy().astype(_U), own["n"].to_numpy().astype(np.int64), (low["gram"].to_numpy().astype(_U), low["n"].to_numpy().astype(np.int64)), mine)
@@ -359,7 +362,7 @@ def score(docs: DataFrame, held_out: Column, shard: int = SHARD) -> DataFrame:
     heavy = {bytes(r["token"]): r["n"] for r in words.where(F.col("n") * HEAVY >= total).toLocalIterator()} if total else {}
     base = Words(heavy, total, distinct)
     shards = _shards(counts, shard)
-    tries = [spark.sparkContext.broadcast(_trie(counts, tails, len(shards))) for tails in shards]
+    tries = [spark.sparkContext.broadcast(_trie(counts, shards, k)) for k in range(len(shards))]
     own = spark.sparkContext.broadcast(base)
     if len(shards) == 1:
         parts = durable(rows.mapInArrow(_score_rows(tries[0], own), SCORED).withColumn("__row", F.monotonically_increasing_id()))
