@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from lexarium.llm._shared import table, text_or_empty
 
-#: Pre-tokens that a task remembers with their ids; then it starts anew.
-CACHE = 200_000
+#: Pre-tokens that a Python worker remembers with their ids; then it starts anew.
+CACHE = 600_000
+#: Documents whose new pre-tokens are encoded in one call.
+GROUP = 128
 #: A vocabulary file is broadcast; one that is larger than this is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -87,45 +89,56 @@ class Codec:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
-        self.tokens, self.find = tokens, regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_map())})
-        self.bytes_of = {c: b for b, c in enumerate(byte_map())}
-        self.seen: dict[str, tuple[str, int, bytes]] = {}
+        back = {c: b for b, c in enumerate(byte_map())}
+        # inverse mapping: each id's piece, character by character back to bytes
+        self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i + 1)) for i in range(len(tokens))]
+        self.seen: dict[str, tuple[str, bytes]] = {}
         self.whole = {token: rank for rank, token in enumerate(tokens)}
 
-    def pieces_of(self, ids: list[int]) -> bytes:
-        """Inverse mapping: the pieces of the ids, character by character back to bytes."""
-        back = self.bytes_of
-        return bytes(back[c] for i in ids for c in self.model.id_to_piece(i + 1))
-
-    def learn(self, words: list[str]) -> None:
-        fresh = [w for w in dict.fromkeys(words) if w not in self.seen]
+    def learn(self, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.seen]
         if not fresh:
             return
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         for word, data, ids in zip(fresh, raw, self.model.encode([b.decode("latin-1").translate(self.shown) for b in raw], num_threads=1)):
             rank = self.whole.get(data)
             ids = [rank] if rank is not None else [i - 1 for i in ids]
-            self.seen[word] = (" ".join(map(str, ids)), len(ids), self.pieces_of(ids))
+            self.seen[word] = (" ".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(ids joined by a space, the bytes that they decode to) of each text."""
+        for lo in range(0, len(texts), GROUP):
+            cut = [self.find(t or "") for t in texts[lo : lo + GROUP]]
+            if len(self.seen) > CACHE:
+                self.seen.clear()
+            self.learn(set().union(*cut))
+            at = self.seen.__getitem__
+            for words in cut:
+                found = list(map(at, words))
+                yield " ".join([f[0] for f in found]), b"".join([f[1] for f in found])
+
+
+_CODECS: dict[tuple, Codec] = {}
+
 
-    def encode(self, text: str) -> tuple[str, int, bytes]:
-        """(ids joined by a space, their number, the bytes that they decode to)."""
-        words = self.find(text)
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        self.learn(words)
-        found = [self.seen[w] for w in words]
-        return " ".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
+def codec_of(tokens: list[bytes], pattern: str) -> Codec:
+    """One codec for each Python worker: its tasks share the model and what it remembers."""
+    key = (hashlib.sha256(b"\n".join(tokens)).digest(), pattern)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(tokens, pattern)
+    return _CODECS[key]
 
 
 def _worker(tokens_on, pattern: str, out: pa.Schema, ids_wanted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokens_on.value, pattern)
+        codec = codec_of(tokens_on.value, pattern)
         for rows in batches:
             made: list[list] = [[] for _ in range(3 + ids_wanted)]
-            for text in rows.column(rows.num_columns - 1).to_pylist():
-                ids, n, decoded = codec.encode(text or "")
-                row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+            for ids, decoded in codec.encode(rows.column(rows.num_columns - 1).to_pylist()):
+                row = [ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                 for column, value in zip(made, row + [[int(i) for i in ids.split()]] * ids_wanted):
                     column.append(value)
             arrays = [rows.column(i) for i in range(rows.num_columns - 1)] + [pa.array(c, f.type) for c, f in zip(made, list(out)[rows.num_columns - 1:])]
