@@ -73,7 +73,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     spaced = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^a-z0-9\n]+", " ")
     lines = F.split(spaced, "\n")
-    whole = F.when(F.instr(spaced, "\n") > 0, F.array(F.translate(spaced, "\n", " "))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.instr(spaced, "\n") > 0, F.array(F.regexp_replace(spaced, "[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
     # a unit with more words than any template allows, or without a word that every match has, matches nothing
     needed = _literal(_needed(own, threshold))
     words = F.transform(F.concat(lines, whole), lambda u: F.split(F.trim(u), " "))
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         found = []
         for name, theirs in own.items():
             m = len(theirs)
-            in_bounds = (n * (2 - threshold) >= threshold * m) & (n * threshold <= (2 - threshold) * m)
+            in_bounds = (n * (2 - threshold) + 1e-9 >= threshold * m) & (n * threshold <= (2 - threshold) * m + 1e-9)
             shared = F.size(F.array_intersect(grams, _literal(theirs)))
             found.append(F.when(in_bounds, F.struct((2.0 * shared / (n + F.lit(m))).alias("dice"), F.lit(name).alias("license"))))
         return F.filter(F.array(*found), lambda x: x.isNotNull() & (x["dice"] >= threshold))
@@ -138,7 +138,7 @@ def oracle(threshold: float = THRESHOLD) -> str:
     n AS (SELECT r, count(*) AS n_units FROM u GROUP BY r),
     c AS (SELECT r, row_number() OVER () AS k, {grams} AS g FROM (SELECT r, string_split({norm.format('u')}, ' ') AS w FROM u) WHERE len(w) BETWEEN 2 AND 400),
     x AS (SELECT r, k, name, 2.0 * len(list_intersect(c.g, t.g)) / (len(c.g) + len(t.g)) AS dice FROM c JOIN t
-          ON len(c.g) * (2 - {threshold}) >= {threshold} * len(t.g) AND len(c.g) * {threshold} <= (2 - {threshold}) * len(t.g)),
+          ON len(c.g) * (2 - {threshold}) + 1e-9 >= {threshold} * len(t.g) AND len(c.g) * {threshold} <= (2 - {threshold}) * len(t.g) + 1e-9),
     m AS (SELECT r, count(DISTINCT k) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS best_dice, arg_min(name, (-dice, name)) AS best_license FROM x WHERE dice >= {threshold} GROUP BY r)
     SELECT doc_id, CAST(n_units AS BIGINT) AS n_units, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, coalesce(licenses, '') AS licenses, best_license, CAST(coalesce(round(best_dice, 6), 0) AS DOUBLE) AS best_dice
     FROM d JOIN n USING (r) LEFT JOIN m USING (r)
