@@ -4,9 +4,8 @@ Records are hashed by doc_id (those without one by their text) into ``SLOTS`` sl
 bytes are summed by slot; a slot map (version, slot, shard) assigns slots to
 shards, and a rebalance writes a further version in which only the slots that
 must move have changed. The slot map is made by one fold over at most ``SLOTS``
-rows of (slot, bytes), a number that does not grow with the data: in each step
-the next ``shards`` slots by size go, largest first, to the shards by load,
-least first.
+rows of (slot, bytes), a number that does not grow with the data: each slot, largest
+first, goes to the shard that has least so far.
 
 Null texts have no bytes (size 16, CRC of nothing); rows without a doc_id
 are hashed by their text. Equal rows share a slot. An empty table gives no rows and an empty map.
@@ -42,22 +41,17 @@ def slot_map(sizes: DataFrame, shards: int = SHARDS, version: int = 1) -> DataFr
     """The first map: (version, virtual_slot, shard)."""
     item = F.struct((-F.col("bytes")).alias("less"), F.col("virtual_slot").alias("slot"))
     listed = sizes.agg(F.array_sort(F.collect_list(item)).alias("slots"))
-    steps = F.when(F.size("slots") == 0, F.expr("array()").cast("array<int>")).otherwise(
-        F.sequence(F.lit(0), F.floor((F.size("slots") - 1) / F.lit(shards)).cast("int"))
-    )
     start = F.struct(
         F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(F.lit(0).cast("long").alias("load"), s.alias("shard"))).alias("loads"),
         F.expr("cast(array() as array<struct<slot:int,shard:int>>)").alias("put"),
     )
 
-    def step(acc: Column, i: Column) -> Column:
-        own = F.slice("slots", i * shards + 1, F.lit(shards))
-        both = F.arrays_zip(F.array_sort(acc["loads"]).alias("to"), own.alias("own"))
-        loads = F.transform(both, lambda x: F.struct((x["to"]["load"] - F.coalesce(x["own"]["less"], F.lit(0))).alias("load"), x["to"]["shard"].alias("shard")))
-        put = F.transform(F.filter(both, lambda x: x["own"].isNotNull()), lambda x: F.struct(x["own"]["slot"].alias("slot"), x["to"]["shard"].alias("shard")))
-        return F.struct(loads.alias("loads"), F.concat(acc["put"], put).alias("put"))
+    def step(acc: Column, own: Column) -> Column:
+        least = F.array_min(acc["loads"])
+        loads = F.transform(acc["loads"], lambda x: F.struct((x["load"] - F.when(x["shard"] == least["shard"], own["less"]).otherwise(0)).alias("load"), x["shard"].alias("shard")))
+        return F.struct(loads.alias("loads"), F.concat(acc["put"], F.array(F.struct(own["slot"].alias("slot"), least["shard"].alias("shard")))).alias("put"))
 
-    folded = listed.select(F.explode(F.aggregate(steps, start, step)["put"]).alias("p"))
+    folded = listed.select(F.explode(F.aggregate("slots", start, step)["put"]).alias("p"))
     return folded.select(F.lit(version).alias("version"), F.col("p.slot").alias("virtual_slot"), F.col("p.shard").alias("shard"))
 
 
