@@ -1,6 +1,6 @@
 """All queries of the library's jobs."""
 
-from lexarium.jobs import evaluation, graphs, lifecycle, logs, retrieval  # noqa: F401  (each module registers its queries)
+from lexarium.jobs import evaluation, graphs, lifecycle, logs, retrieval, selection, streams  # noqa: F401  (each module registers its queries)
 from lexarium.jobs.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
