@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Terms are ASCII words, digit runs and runs of Han characters.
 TERM = "([a-z][a-z0-9_.-]*|[0-9]+|[㐀-鿿]+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefolded(texts: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark lacks; ``lower`` differs for letters such as sharp s."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -15,8 +15,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EV_SQL = "ev AS (SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec FROM events)"
-BY_RUN = Window.partitionBy("user_id").orderBy("ts", "event_id")
-UNTIL_NOW = BY_RUN.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_run():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def until_now():
+    return by_run().rowsBetween(Window.unboundedPreceding, 0)
 
 
 @query("""WITH k AS (SELECT *, row_number() OVER w AS n, first_value(round(value, 2)) OVER w AS kept FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
@@ -56,7 +62,7 @@ def q07_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_id, i + max(t - i) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS ordinal FROM n""")
 def q09_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """greatest(clock, previous + 1) for each event of a run, as a running maximum of clock - row number."""
-    n = _events(spark, sf_dir).select("user_id", "event_id", "ts", F.floor(F.col("sec") / 86400).alias("t"), F.row_number().over(BY_RUN).cast("long").alias("i"))
+    n = _events(spark, sf_dir).select("user_id", "event_id", "ts", F.floor(F.col("sec") / 86400).alias("t"), F.row_number().over(by_run()).cast("long").alias("i"))
     w = Window.partitionBy("user_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return n.select("user_id", "event_id", (F.col("i") + F.max(F.col("t") - F.col("i")).over(w)).alias("ordinal"))
 
@@ -79,7 +85,7 @@ def q11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
 SELECT user_id, count(*) AS n, count(*) FILTER (event_id <= was) AS out_of_order FROM s GROUP BY user_id""")
 def s14_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(BY_RUN).alias("was"))
+    s = table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(by_run()).alias("was"))
     return s.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") <= F.col("was")).alias("out_of_order"))
 
 
@@ -110,14 +116,14 @@ def w05_suffix_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)
 SELECT user_id, count(*) FILTER (best IS NULL OR value > best) AS progress, count(*) AS n FROM m GROUP BY user_id""")
 def w06_running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "events").select("user_id", "value", F.max("value").over(BY_RUN.rowsBetween(Window.unboundedPreceding, -1)).alias("best"))
+    m = table(spark, sf_dir, "events").select("user_id", "value", F.max("value").over(by_run().rowsBetween(Window.unboundedPreceding, -1)).alias("best"))
     return m.groupBy("user_id").agg(F.count_if(F.col("best").isNull() | (F.col("value") > F.col("best"))).alias("progress"), F.count("*").alias("n"))
 
 
 @query("""WITH l AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
 SELECT user_id, event_type, count(*) FILTER (was IS NULL OR was <> event_type) AS entries FROM l GROUP BY ALL""")
 def w07_stage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = table(spark, sf_dir, "events").select("user_id", "event_type", F.lag("event_type").over(BY_RUN).alias("was"))
+    moved = table(spark, sf_dir, "events").select("user_id", "event_type", F.lag("event_type").over(by_run()).alias("was"))
     return moved.groupBy("user_id", "event_type").agg(F.count_if(F.col("was").isNull() | (F.col("was") != F.col("event_type"))).alias("entries"))
 
 
@@ -125,7 +131,7 @@ def w07_stage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS scope FROM g""")
 def w09_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last mark holds until an event that breaks the island."""
-    g = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.sum(F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)).over(UNTIL_NOW).alias("island"), F.when(F.col("value") > 60, F.col("event_type")).alias("mark"))
+    g = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.sum(F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)).over(until_now()).alias("island"), F.when(F.col("value") > 60, F.col("event_type")).alias("mark"))
     w = Window.partitionBy("user_id", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return g.select("event_id", F.last("mark", ignorenulls=True).over(w).alias("scope"))
 
@@ -134,7 +140,7 @@ def w09_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, count(*) FILTER (used <= 500) AS admitted, count(*) FILTER (used > 500) AS denied, round(max(CASE WHEN used <= 500 THEN used END), 4) AS committed FROM c GROUP BY user_id""")
 def w04_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A running budget that stops at the first event beyond it (values are never negative)."""
-    c = table(spark, sf_dir, "events").select("user_id", F.sum("value").over(UNTIL_NOW).alias("used"))
+    c = table(spark, sf_dir, "events").select("user_id", F.sum("value").over(until_now()).alias("used"))
     return c.groupBy("user_id").agg(F.count_if(F.col("used") <= 500).alias("admitted"), F.count_if(F.col("used") > 500).alias("denied"), F.round(F.max(F.when(F.col("used") <= 500, F.col("used"))), 4).alias("committed"))
 
 

@@ -23,7 +23,7 @@ def x09_image_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [(rows[0].l_orderkey, place, line, source) for place, (line, source) in enumerate(kept, 1)]
 
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 4).alias("source"))
-    return s.per_case(rows, "l_orderkey", ["l_linenumber"], work, "l_orderkey long, place long, line long, source long")
+    return s.per_case(rows, "l_orderkey", ["l_linenumber", "source"], work, "l_orderkey long, place long, line long, source long")
 
 
 @query()
