@@ -255,10 +255,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each class, the least doc_id; of repeated rows of it, one."""
     classed = linked_documents(docs).where("doc_id is not null and n_links > 0").select(F.col("doc_id").alias("__doc"), "class_id").distinct()
     gone = classed.where("__doc <> class_id").select("__doc")
-    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__doc")).count().where("count > 1").select("__doc")
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left_anti")
-    once = left.join(twice, left["doc_id"].cast("long") == twice["__doc"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, left["doc_id"].cast("long") == twice["__doc"], "left_anti").unionByName(once)
+    twice = durable(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__doc")).count().where("count > 1").select("__doc"))
+    if twice.limit(1).count() == 0:
+        return left
+    repeated = left["doc_id"].cast("long") == twice["__doc"]
+    return left.join(twice, repeated, "left_anti").unionByName(left.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
