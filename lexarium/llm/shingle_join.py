@@ -265,3 +265,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB: every pair that shares a shingle, counted exactly, and the components of the links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-7),
+walk(node, pos) AS (SELECT a, b FROM l UNION SELECT node, b FROM walk JOIN l ON a = pos),
+c AS (SELECT node, least(node, min(pos)) AS root FROM walk GROUP BY node),
+m AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT doc_id, coalesce(root, doc_id) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links FROM documents LEFT JOIN c ON node = doc_id LEFT JOIN m ON a = doc_id
+"""
