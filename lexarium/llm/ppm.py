@@ -42,8 +42,8 @@ SYMBOLS = 257
 SHARD = 4_000_000
 HEAVY = 1_000_000
 #: Cells that are scored at once, distinct pairs that a task holds before it sends them on.
-SLICE = 1 << 20
-HELD = 2_000_000
+SLICE = 1 << 19
+HELD = 1_000_000
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
 
@@ -113,51 +113,57 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = rows.column(0).to_pylist()
         for t in texts:
             tokens.update(tokens_of(t))
-        cells, start, stop = cells_of(texts)
-        good = _scored_cells(len(cells), start, stop)
-        for lo in range(ORDER, len(cells), 4 * SLICE):
-            hi = min(len(cells), lo + 4 * SLICE)
-            grams.append(np.unique(keys_of(cells, lo, hi)[good[lo:hi]], return_counts=True))
-        if len(grams) > 8:
-            merge()
+        for group in _groups(texts, 2 * SLICE):
+            cells, start, stop = cells_of(group)
+            good = _scored_cells(len(cells), start, stop)
+            for lo in range(ORDER, len(cells), 2 * SLICE):
+                hi = min(len(cells), lo + 2 * SLICE)
+                grams.append(np.unique(keys_of(cells, lo, hi)[good[lo:hi]], return_counts=True))
+            if len(grams) > 8:
+                merge()
         if len(tokens) > HELD or grams and len(grams[0][0]) > HELD:
             yield from send()
     yield from send()
 
 
 class Lookup:
-    """Numbers found by a hashed index: row of each key, or -1."""
+    """Places of keys in a hashed order, or -1; values are to be kept in ``order``."""
 
     def __init__(self, keys: np.ndarray):
-        mixed = keys.astype(_U) * _MIX
-        self.order = np.argsort(mixed, kind="stable").astype(np.int32)
+        mixed = keys * _MIX
+        self.order: np.ndarray | None = np.argsort(mixed, kind="stable").astype(np.int32)
+        # a zero stands behind the last, so that a look beyond it is allowed
         self.keys = np.concatenate([mixed[self.order], np.zeros(1, _U)])
-        self.bits = max(1, int(np.ceil(np.log2(max(2, 2 * len(keys))))))
+        self.bits = max(1, int(np.ceil(np.log2(max(2, len(keys))))))
         self.first = np.searchsorted(self.keys[:-1], np.arange(1 << self.bits, dtype=_U) << _U(64 - self.bits)).astype(np.int32)
         self.most = int(np.diff(np.append(self.first, len(keys))).max()) if len(keys) else 0
 
+    def arranged(self, values: np.ndarray) -> np.ndarray:
+        return values.astype(np.float32)[self.order]
+
     def find(self, keys: np.ndarray) -> np.ndarray:
+        n = len(self.keys) - 1
+        if not n:
+            return np.full(len(keys), -1, dtype=np.int32)
         mixed = keys * _MIX
         at = self.first[(mixed >> _U(64 - self.bits)).astype(np.int64)]
-        hit = self.keys[at] == mixed
-        if len(self.keys) == 1:
-            return np.full(len(keys), -1, dtype=np.int64)
-        todo = np.flatnonzero(~hit)
+        miss = self.keys[at] != mixed
+        miss |= at >= n
+        todo = np.flatnonzero(miss)
         step = at[todo]
+        at[todo] = -1
         for _ in range(self.most):
-            step = step + 1
+            step += 1
             # keys are sorted: beyond the wanted one there is nothing
-            live = (step < len(self.order)) & (self.keys[np.minimum(step, len(self.order))] <= mixed[todo])
+            live = step < n
+            live &= self.keys[np.minimum(step, n)] <= mixed[todo]
             todo, step = todo[live], step[live]
             if not len(todo):
                 break
             same = self.keys[step] == mixed[todo]
             at[todo[same]] = step[same]
-            hit[todo[same]] = True
             todo, step = todo[~same], step[~same]
-        out = np.full(len(keys), -1, dtype=np.int64)
-        out[hit] = self.order[at[hit]]
-        return out
+        return at
 
 
 def _of_order(key: np.ndarray, order: int) -> np.ndarray:
@@ -224,17 +230,18 @@ class Trie:
                 short_escape = np.where(new > 0, np.log10(np.maximum(new, 1)) - short_size, 0.0)
             contexts["short_size"].append(short_size)
             contexts["short_escape"].append(short_escape)
-        self.pairs = Lookup(np.concatenate(pair_keys))
-        self.count = np.concatenate(pair_values).astype(np.float32)
+        self.pairs = Lookup(np.concatenate(pair_keys[:ORDER]))
+        self.count = self.pairs.arranged(np.concatenate(pair_values[:ORDER]))
         self.contexts = Lookup(np.concatenate(contexts["key"]))
         for name in ("size", "escape", "short_size", "short_escape"):
-            setattr(self, name, np.append(np.concatenate(contexts[name]), 0).astype(np.float32))  # the last stands for no context
+            setattr(self, name, np.append(self.contexts.arranged(np.concatenate(contexts[name])), np.float32(0)))  # the last stands for no context
         # the common case in one look: the whole probability of a pair of the highest order
         keys, _ = levels[ORDER]
         heads = stats[ORDER][0]
         own = np.repeat(contexts["size"][ORDER], stats[ORDER][3]) if len(heads) else np.zeros(0)
         self.top = Lookup(keys)
-        self.top_value = (pair_values[ORDER] - own).astype(np.float32)
+        self.top_value = self.top.arranged(pair_values[ORDER] - own)
+        self.pairs.order = self.contexts.order = self.top.order = None
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each key's byte after its context."""
@@ -263,7 +270,7 @@ class Trie:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         cells, start, stop = cells_of(texts)
-        upto = np.zeros(len(cells) + 1)
+        out = np.zeros(len(texts))
         good = _scored_cells(len(cells), start, stop)
         for lo in range(ORDER, len(cells), SLICE):
             hi = min(len(cells), lo + SLICE)
@@ -271,10 +278,26 @@ class Trie:
             key = keys_of(cells, lo, hi)
             if self.mine is not None:
                 own &= self.mine[((key >> _U(9)) & _U(0xFFFF)).astype(np.int64)]
-            part = np.zeros(hi - lo)
-            part[own] = self.log10(key[own])
-            upto[lo + 1 : hi + 1] = part
-        return np.add.reduceat(upto, np.stack([start + 1, stop + 1], 1).ravel()[:-1])[::2] if len(texts) else np.zeros(0)
+            part = np.zeros(hi - lo + 1)
+            part[1:][own] = self.log10(key[own])
+            part = np.cumsum(part)
+            i, j = int(np.searchsorted(stop, lo, "right")), int(np.searchsorted(start, hi, "left"))
+            out[i:j] += part[np.minimum(stop[i:j], hi) - lo] - part[np.maximum(start[i:j], lo) - lo]
+        return out
+
+
+def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Neighbouring texts of together about ``most`` characters, or one longer text."""
+    own: list[str] = []
+    room = most
+    for t in texts:
+        if own and len(t) > room:
+            yield own
+            own, room = [], most
+        own.append(t)
+        room -= len(t) + ORDER + 1
+    if own:
+        yield own
 
 
 class Words:
@@ -294,7 +317,7 @@ def _score_rows(trie_on, words_on):
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
         for rows in batches:
             texts = rows.column(2).to_pylist()
-            score = trie.scores(texts)
+            score = np.concatenate([trie.scores(group) for group in _groups(texts, 2 * SLICE)]) if texts else np.zeros(0)
             if words_on is None:
                 n = len(texts)
                 columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), score, pa.nulls(n, schema.field(6).type), pa.nulls(n, schema.field(7).type)]
@@ -337,7 +360,7 @@ def _shards(counts: DataFrame, size: int) -> list[list[int]]:
 def _trie(counts: DataFrame, shards: list[list[int]], k: int) -> Trie:
     """Shard ``k``; the first also answers for tails that no learning text has."""
     grams = counts.where("gram is not null")
-    low = grams.groupBy(F.col("gram").bitwiseAND((1 << 17) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    low = grams.groupBy(F.col("gram").bitwiseAND((1 << 17) - 1).alias("gram")).agg(F.sum("n").alias("n"))
     mine = None
     if len(shards) > 1:
         mine = np.full(1 << 16, k == 0)
@@ -345,8 +368,13 @@ def _trie(counts: DataFrame, shards: list[list[int]], k: int) -> Trie:
             mine[tails] = other == k
         tails = shards[k]
         grams = grams.join(F.broadcast(counts.sparkSession.createDataFrame([(t,) for t in tails], "tail long")), F.shiftright("gram", 9).bitwiseAND(0xFFFF) == F.col("tail"))
-    own = grams.select("gram", "n").toArrow()
-    return Trie(own["gram"].to_numpy().astype(_U), own["n"].to_numpy().astype(np.int64), (low["gram"].to_numpy().astype(_U), low["n"].to_numpy().astype(np.int64)), mine)
+    own = _columns(grams)
+    return Trie(*own, _columns(low), mine)
+
+
+def _columns(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = grams.select("gram", "n").toArrow()
+    return rows["gram"].to_numpy().view(_U), rows["n"].to_numpy()
 
 
 def score(docs: DataFrame, held_out: Column, shard: int = SHARD) -> DataFrame:
