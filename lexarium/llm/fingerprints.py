@@ -177,7 +177,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     own = rows.select(stretch.alias("stretch"), F.lit(False).alias("border"), "doc_id", "text")
     return (
-        own.union(borders).repartition(wanted, "stretch")
+        own.union(borders).repartitionById(wanted, "stretch")
         .sortWithinPartitions("stretch", "border", F.col("doc_id").asc_nulls_first(), "text")
     )
 
