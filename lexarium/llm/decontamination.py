@@ -165,7 +165,10 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, spans: bool = Tr
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with the columns of ``docs``."""
-    return scan(docs, items, size, spans=False).where(F.size("items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # under names of their own, columns that are called like the scan's stay what they were
+    own = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    found = scan(docs.select(*own, text_or_empty().alias("text")), items, size, spans=False, keep_text=False)
+    return found.where(F.size("items") == 0).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
