@@ -89,9 +89,9 @@ def s14_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") <= F.col("was")).alias("out_of_order"))
 
 
-@query("SELECT event_id, user_id, ts FROM events WHERE user_id % 10 = 3 ORDER BY ts DESC, event_id DESC LIMIT 25")
+@query("SELECT event_id, user_id, ts FROM events WHERE user_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 25")
 def s19_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("user_id % 10 = 3").orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "user_id", "ts")
+    return table(spark, sf_dir, "events").where("user_id = 3").orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "user_id", "ts")
 
 
 @query("""WITH r AS (SELECT user_id, event_type, event_id, rank() OVER (PARTITION BY user_id, event_type ORDER BY date_trunc('day', ts) DESC) AS k FROM events)
