@@ -40,14 +40,14 @@ def r05_role_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + CHUNKS_SQL + """, s AS (SELECT doc_id, min(n) AS lo, max(n) AS hi, 'document' AS name FROM chunks GROUP BY doc_id UNION ALL SELECT doc_id, min(n), max(n), 'block ' || CAST(floor(n / 8) AS BIGINT) FROM chunks GROUP BY doc_id, floor(n / 8)),
-f AS (SELECT doc_id, n AS line FROM chunks WHERE n % 5 = 1)
+f AS (SELECT doc_id, n AS line FROM chunks)
 SELECT f.doc_id, line, arg_min(name, (hi - lo, name)) AS scope FROM f JOIN s ON s.doc_id = f.doc_id AND line BETWEEN lo AND hi GROUP BY ALL""")
 def j16_enclosing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost of nested scopes that hold a line."""
     lines = chunks(table(spark, sf_dir, "documents")).select("doc_id", "n")
     whole = lines.groupBy("doc_id").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("name", F.lit("document"))
     block = lines.groupBy("doc_id", F.floor(F.col("n") / 8).alias("b")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select("doc_id", "lo", "hi", F.concat(F.lit("block "), F.col("b").cast("string")).alias("name"))
-    found = lines.where("n % 5 = 1").select("doc_id", F.col("n").alias("line")).join(whole.union(block), "doc_id").where("line between lo and hi")
+    found = lines.select("doc_id", F.col("n").alias("line")).join(whole.union(block), "doc_id").where("line between lo and hi")
     return found.groupBy("doc_id", "line").agg(F.min_by("name", F.struct(F.col("hi") - F.col("lo"), "name")).alias("scope"))
 
 
