@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexarium.functions.chunking import cut
 from lexarium.jobs.evaluation import HITS_SQL, _cases, _hits, _required
 from lexarium.jobs.lifecycle import VERSIONS_SQL, _versions
 from lexarium.jobs.registry import query
@@ -182,3 +183,21 @@ def u44_build_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["h"]), ",")
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.when(F.bool_or(F.col("n_chars") < 15), "unknown").otherwise(F.sha2(listed.cast("binary"), 256)).alias("identity"))
+
+
+@query()
+def t03_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in headed parts of at most 1,250 characters."""
+    return cut(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "part", F.array_join("headings", " / ").alias("path"), "content")
+
+
+@query("WITH " + CHUNKS_SQL + """, w AS (SELECT doc_id, n, lo, substr(content, CAST(lo AS BIGINT) + 1, 240) AS piece, content FROM (SELECT doc_id, n, content, unnest(generate_series(0, CAST(floor((length(content) - 1) / 200) AS BIGINT) * 200, 200)) AS lo FROM chunks))
+SELECT doc_id, count(*) AS views, count(*) FILTER (substr(content, CAST(lo AS BIGINT) + 1, length(piece)) <> piece) AS broken, max(lo + length(piece)) AS reach FROM w GROUP BY doc_id""")
+def t09_view_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window must be what its parent has at its place."""
+    from lexarium.jobs.retrieval import t10_windows
+
+    parents = chunks(table(spark, sf_dir, "documents")).select("doc_id", "n", "content")
+    views = t10_windows(spark, sf_dir).join(parents, ["doc_id", "n"])
+    same = F.substr("content", F.col("lo").cast("int") + 1, F.length("piece")) == F.col("piece")
+    return views.groupBy("doc_id").agg(F.count("*").alias("views"), F.count_if(~same).alias("broken"), F.max(F.col("lo") + F.length("piece")).alias("reach"))
