@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexarium.llm._shared import table, text_or_empty
 
 #: Pre-tokens that a Python worker remembers with their ids; then it starts anew.
-CACHE = 600_000
+CACHE = 200_000
 #: Documents whose new pre-tokens are encoded in one call.
 GROUP = 128
 #: A vocabulary file is broadcast; one that is larger than this is refused.
