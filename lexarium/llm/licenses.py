@@ -65,8 +65,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     Units are filtered and compared inside the row, by array functions, so no
     row is multiplied and nothing is shuffled. A unit is cut into bigrams only
-    if its number of words lies in the bounds of some template and it holds a
-    word of the rarest that every match needs.
+    if its number of distinct words lies in the bounds of some template and it
+    holds a word of the rarest that every match needs.
     """
     own = {name: bigrams(text) for name, text in sorted((templates or TEMPLATES).items())}
     widest = int(max(map(len, own.values())) * (2 - threshold) / threshold) + 1
@@ -74,12 +74,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     spaced = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^a-z0-9\n]+", " ")
     lines = F.split(spaced, "\n")
     whole = F.when(F.instr(spaced, "\n") > 0, F.array(F.regexp_replace(spaced, "[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
-    # a unit with more words than any template allows, or without a word that every match has, matches nothing
+    # a unit with more distinct words than any template allows (n distinct bigrams have n + 1 at most), or without
+    # a word that every match has, matches nothing; how often a unit repeats itself says nothing
     needed = _literal(_needed(own, threshold))
     words = F.transform(F.concat(lines, whole), lambda u: F.split(F.trim(u), " "))
     rows = docs.select(
         "doc_id", (F.size(lines) + F.size(whole)).alias("n_units"),
-        F.filter(words, lambda w: F.size(w).between(2, 2 * widest + 1) & F.arrays_overlap(w, needed)).alias("units"),
+        F.filter(words, lambda w: (F.size(w) >= 2) & F.arrays_overlap(w, needed) & ((F.size(w) <= widest + 1) | (F.size(F.array_distinct(w)) <= widest + 1))).alias("units"),
     )
     cut = rows.withColumn("grams", F.transform("units", lambda w: F.array_distinct(
         F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))

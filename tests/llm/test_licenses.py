@@ -38,3 +38,11 @@ def test_equals_brute_force(spark, make_prose, odd_texts):
         assert rows[i] == brute(x), x
     assert sum(r[1] > 0 for r in rows.values()) > 40
     assert c.scan(docs.limit(0)).count() == 0
+
+
+def test_long_repeated_notices_are_found(spark):
+    texts = [" ".join([c.TEMPLATES["MIT-text"]] * 6), "\n".join(["All rights reserved."] * 400), " ".join(f"software{i} reserved" for i in range(500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: tuple(r)[1:] for r in c.scan(docs).collect()}
+    assert [rows[i] for i in range(3)] == [brute(x) for x in texts]
+    assert rows[0][1:3] == (1, "MIT-text") and rows[1][1] == 401 and rows[2][1] == 0
