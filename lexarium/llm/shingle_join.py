@@ -1,11 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by banded MinHash LSH with exact verification.
 
 Documents are sets of five-word shingles (lower case, cut at white space; a
 shorter text is one shingle). Texts with the same words are one class from the
-start, stood for by its least doc_id. Each class gets a forest of ``TREES``
-prefix tries over its MinHash signature. Matched prefixes start at ``DEPTH``
-values and are shortened until a pair at the threshold is met with the target
-recall; classes below one trie node at that depth are candidates.
+start, named by the hash of the words; its text is that of its first document,
+by doc_id and hash of the text. The MinHash signature of each class is cut into
+``TREES`` bands. All bands have one fixed length, the longest up to ``DEPTH`` at
+which a pair at the threshold is met with the target recall: a formula of these
+constants (``matched_depth``, 5), so nothing is shortened by what the data hold.
+Classes that agree in a whole band (share a node) are candidates.
 
 A node of at most ``SMALL`` classes gives its pairs, which stay if their whole
 signatures don't rule them out; a larger node joins its classes to its least
@@ -68,7 +70,7 @@ def class_key(text: str) -> int | None:
 
 
 def matched_depth(trees: int = TREES, deepest: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Shorten the matched prefix from the deepest until a pair at the threshold shares a node of some tree with the recall."""
+    """The fixed length of a band: the most values at which a pair at the threshold shares some band with the recall."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -93,7 +95,7 @@ class Forest:
         return out
 
     def prefixes(self, signature: np.ndarray) -> np.ndarray:
-        """One label per tree: its trie node at the matched depth."""
+        """One label per band."""
         grid = signature.reshape(self.trees, self.depth)
         label = np.arange(1, self.trees + 1, dtype=np.uint64)
         for d in range(self.depth):
@@ -109,11 +111,11 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
-    schema = pa.schema([("doc", pa.int64()), ("cls", pa.int64()), ("nodes", pa.list_(pa.int64())), ("kept", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("cls", pa.int64()), ("nodes", pa.list_(pa.int64())), ("kept", pa.binary())])
     seen: dict[int, tuple] = {}
     for rows in batches:
         cells: list[list] = [[], [], []]
-        for text in rows.column(1).to_pylist():
+        for text in rows.column(2).to_pylist():
             key = class_key(text)
             if key is None:
                 made = (None, None, None)
@@ -125,7 +127,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 seen[key] = made
             for cell, value in zip(cells, made):
                 cell.append(value)
-        yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, f.type) for c, f in zip(cells, list(schema)[1:]))], schema=schema)
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, f.type) for c, f in zip(cells, list(schema)[2:]))], schema=schema)
 
 
 def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,21 +223,26 @@ def _families(classes: DataFrame) -> DataFrame:
     return components(likely.union(large))
 
 
-def linked_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links) of each row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
-    found = durable(rows.where("doc is not null").mapInArrow(_signature_rows, "doc long, cls long, nodes array<long>, kept binary"))
-    # signatures are equal within a class; the hash of one word sequence is one class
-    classes = found.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("nodes", "kept")).alias("s"))
-    classes = durable(classes.select("cls", "rep", "copies", "s.nodes", "s.kept"))
+def _mark():
+    """Tells rows of one doc_id apart: equal texts are equal."""
+    return F.xxhash64(text_or_empty())
+
+
+def _linked_rows(docs: DataFrame) -> DataFrame:
+    """(doc, mark, least, n_links) of each row of ``docs`` with a doc_id; least: the first (doc, mark) of its connected near-duplicates."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), _mark().alias("mark"), text_or_empty().alias("text"))
+    found = durable(rows.mapInArrow(_signature_rows, "doc long, mark long, cls long, nodes array<long>, kept binary"))
+    # signatures are equal within a class; the hash of one word sequence is one class, and names it: a doc_id may have several
+    classes = found.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc", "mark")).alias("first"), F.count("*").alias("copies"), F.min(F.struct("nodes", "kept")).alias("s"))
+    classes = durable(classes.select(F.col("cls").alias("rep"), "first", "copies", "s.nodes", "s.kept"))
     families = _families(classes)
     sized = families.groupBy("root").agg(F.count("*").alias("n"))
     placed = families.join(sized, "root").select(
         F.col("node").alias("rep"), F.col("root").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = placed.join(classes.select("rep", "cls", "copies"), "rep")
-    # a class's text is that of any of its documents: the least one
-    texts = rows.where("doc is not null").join(members, rows["doc"] == members["rep"]).dropDuplicates(["rep"])
+    members = placed.join(classes.select("rep", F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark"), "copies"), "rep")
+    # a class's text is that of its first document; repeated rows of it are equal
+    texts = rows.join(members, ["doc", "mark"]).dropDuplicates(["rep"])
     dealt = texts.select(
         "rep", "copies", "text", "family", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
@@ -243,19 +250,26 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     parts = durable(dealt.groupBy("family", "i", "j").applyInPandas(compare_blocks, LINKED))
     roots = components(parts.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
+    linked = durable(roots.select(F.col("node").alias("rep"), "root").join(classes.select("rep", "first"), "rep"))
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    named = linked.select("rep", "root").join(least, "root").select("rep", "least")
     told = (
-        classes.select("cls", "rep", "copies").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links, "rep", "left")
-        .select("cls", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        classes.select("rep", "first", "copies").join(named, "rep", "left").join(links, "rep", "left")
+        .select(F.col("rep").alias("cls"), F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    known = found.select("doc", "cls").join(told, "cls", "left").select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return known.union(rows.where("doc is null").select(F.col("doc").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return found.select("doc", "mark", "cls").join(told, "cls", "left").select("doc", "mark", F.coalesce("least", F.struct("doc", "mark")).alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links) of each row of ``docs``."""
+    known = _linked_rows(docs).select(F.col("doc").alias("doc_id"), F.col("least.doc").alias("class_id"), "n_links")
+    return known.union(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each class, the least doc_id; of repeated rows of it, one."""
-    classed = linked_documents(docs).where("doc_id is not null and n_links > 0").select(F.col("doc_id").alias("__doc"), "class_id").distinct()
-    gone = classed.where("__doc <> class_id").select("__doc")
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left_anti")
+    """The rows of ``docs`` with one document of each class, the least doc_id (of its texts there, the first by hash); of repeated rows of it, one."""
+    gone = _linked_rows(docs).where("n_links > 0 and (doc <> least.doc or mark <> least.mark)").select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct()
+    left = docs.join(gone, (docs["doc_id"].cast("long") == gone["__doc"]) & (_mark() == gone["__mark"]), "left_anti")
     twice = durable(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__doc")).count().where("count > 1").select("__doc"))
     if twice.limit(1).count() == 0:
         return left

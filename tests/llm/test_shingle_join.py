@@ -72,3 +72,17 @@ def test_odd_rows(spark):
     kept = s.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
     assert s.linked_documents(df.limit(0)).count() == 0 and s.keep_one(df.limit(0)).count() == 0
+
+
+def test_two_texts_of_one_doc_id(spark, make_prose):
+    rng = random.Random(3)
+    near, clean = make_prose(rng, 150), make_prose(rng, 150)
+    for a, b in ((near, clean), (clean, near)):
+        rows = [(1, make_prose(rng, 90)), (2, a), (2, b), (3, near + " end"), (0, clean + " end")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted(tuple(r) for r in s.linked_documents(df).collect())
+        assert got == [(0, 0, 1), (1, 1, 0), (2, 0, 1), (2, 2, 1), (3, 2, 1)]
+        kept = sorted((r["doc_id"], r["text"]) for r in s.keep_one(df).collect())
+        assert kept == sorted([rows[0], (2, near), (0, clean + " end")])
+    lone = spark.createDataFrame([(1, near), (2, near + " end"), (2, clean)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in s.keep_one(lone).collect()) == sorted([(1, near), (2, clean)])
