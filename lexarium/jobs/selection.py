@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import groupby
+from itertools import chain, tee
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,8 @@ from lexarium.sources.tables import chunks, table
 def x09_image_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's even lines are its hits, odd ones images; suppliers are sources; five places."""
 
-    def work(rows):
+    def work(own):
+        rows = list(own)
         hits = [(r.l_linenumber, r.source) for r in rows]
         kept = s.merge_images([h for h in hits if h[0] % 2 == 0], [h for h in hits if h[0] % 2 == 1], 5)
         return [(rows[0].l_orderkey, place, line, source) for place, (line, source) in enumerate(kept, 1)]
@@ -31,8 +32,9 @@ def x11_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders, by priority as the check that returned them; four places."""
 
     def work(rows):
-        searches = [[(r.o_orderkey, r.o_orderstatus) for r in own] for _, own in groupby(rows, key=lambda r: r.o_orderpriority)]
-        return [(rows[0].o_custkey, place, key) for place, (key, _) in enumerate(s.round_robin(searches, 4), 1)]
+        first = next(rows)
+        hits = ((r.o_orderpriority, r.o_orderkey, r.o_orderstatus) for r in chain([first], rows))
+        return [(first.o_custkey, place, key) for place, (key, _) in enumerate(s.round_robin_of(hits, 4), 1)]
 
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", (-F.col("o_totalprice")).alias("less"), "o_orderstatus")
     return s.per_case(rows, "o_custkey", ["o_orderpriority", "less", "o_orderkey"], work, "o_custkey long, place long, o_orderkey long")
@@ -42,7 +44,8 @@ def x11_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x17_context_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth line of a document is a hit; a budget of 120 terms."""
 
-    def work(rows):
+    def work(own):
+        rows = list(own)
         own = [(r.n, r.cost) for r in rows]
         return [(rows[0].doc_id, place, n, role) for place, (n, role) in enumerate(s.expand_context([n for n, _ in own if n % 4 == 2], own, 120), 1)]
 
@@ -55,9 +58,10 @@ def s11_snapshot_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host by url, up to 12 and 60 kB: a page that is too large is passed over. The caps are the operator's."""
 
     def work(rows):
-        return [(rows[0].host, page) for page in s.greedy_cap([(r.page_id, r.size) for r in rows], 12, 60_000)]
+        first = next(rows)
+        return [(first.host, page) for page in s.greedy_cap(((r.page_id, r.size) for r in chain([first], rows)), 12, 60_000)]
 
-    rows = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), "url", "page_id", F.length("html").alias("size"))
+    rows = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), "url", "page_id", F.length("html").alias("size")).where("size <= 60000")
     return s.per_case(rows, "host", ["url", "page_id"], work, "host string, page_id long")
 
 
@@ -66,7 +70,8 @@ def w08_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs without progress for ten events, told once until the next progress."""
 
     def work(rows):
-        return [(rows[0].user_id, rows[i].event_id) for i in s.stalls([(r.event_type, r.value) for r in rows], 10)]
+        rows, values = tee(rows)
+        return ((r.user_id, r.event_id) for r, stalled in zip(rows, s.stalling((r.value for r in values), 10)) if stalled)
 
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
     return s.per_case(events, "user_id", ["ts", "event_id"], work, "user_id long, event_id long")
@@ -77,8 +82,9 @@ def w12_budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a run against limits of two dimensions; what is denied uses nothing."""
 
     def work(rows):
-        denied = s.reserve([{"calls": 1, "value": r.value} for r in rows], {"calls": 30, "value": 900.0})
-        return [(r.user_id, r.event_id, d) for r, d in zip(rows, denied)]
+        rows, asked = tee(rows)
+        denied = s.reserving(({"calls": 1, "value": r.value} for r in asked), {"calls": 30, "value": 900.0})
+        return ((r.user_id, r.event_id, d) for r, d in zip(rows, denied))
 
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     return s.per_case(events, "user_id", ["ts", "event_id"], work, "user_id long, event_id long, denied_by string")

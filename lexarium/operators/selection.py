@@ -1,13 +1,14 @@
 """Selectors whose next step depends on what was taken before, one bounded case at a time.
 
-Each runs over cases that Spark deals and sorts; a case holds the hits of one
-query and never a corpus.
+Each runs over cases that Spark deals and sorts. Selectors that may meet a hot
+case read its rows one by one and hold a bounded state; those that hold a case
+as a list (``merge_images``, ``expand_context``) are for the hits of one query.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -72,7 +73,26 @@ def expand_context(hits: list[int], rows: list[tuple[int, int]], budget: int, ar
 
 def round_robin(searches: list[list[tuple]], k: int) -> list[tuple]:
     """``searches``: each check's (id, source) by rank. By rank over all checks, new sources first, then the rest."""
-    line = [hit for rank in range(max(map(len, searches), default=0)) for own in searches if rank < len(own) for hit in [own[rank]]]
+    return _first_new([hit for rank in range(max(map(len, searches), default=0)) for own in searches if rank < len(own) for hit in [own[rank]]], k)
+
+
+def round_robin_of(hits: Iterable[tuple], k: int) -> list[tuple]:
+    """As ``round_robin``, of (check, id, source) check by check in order of rank, each id once in a check.
+
+    Held are each check's first k hits and its first of each source: no other
+    can be taken, as k hits of its check or one of its source stand before it.
+    """
+    line = []
+    for c, (_, own) in enumerate(groupby(hits, key=lambda hit: hit[0])):
+        sources: set = set()
+        for rank, (_, key, source) in enumerate(own):
+            if rank < k or source not in sources:
+                line.append((rank, c, key, source))
+            sources.add(source)
+    return _first_new([(key, source) for _, _, key, source in sorted(line, key=lambda hit: hit[:2])], k)
+
+
+def _first_new(line: list[tuple], k: int) -> list[tuple]:
     out, ids, sources = [], set(), set()
     for fresh in (True, False):
         for hit in line:
@@ -83,11 +103,13 @@ def round_robin(searches: list[list[tuple]], k: int) -> list[tuple]:
     return out
 
 
-def greedy_cap(files: list[tuple[str, int]], most: int, total: int) -> list[str]:
+def greedy_cap(files: Iterable[tuple[str, int]], most: int, total: int) -> list[str]:
     """Names in order up to ``most`` files and ``total`` bytes; one that is too large is passed over, later ones may fit."""
     out, used = [], 0
     for name, size in files:
-        if len(out) < most and used + size <= total:
+        if len(out) == most:
+            break
+        if used + size <= total:
             out.append(name)
             used += size
     return out
@@ -98,35 +120,42 @@ def reserve(requests: list[dict[str, float]], limits: dict[str, float | None]) -
 
     A limit of None is no limit, of 0 denies; a denied request uses nothing.
     """
+    return list(reserving(requests, limits))
+
+
+def reserving(requests: Iterable[dict[str, float]], limits: dict[str, float | None]) -> Iterator[str | None]:
     used: Counter = Counter()
-    out = []
     for request in requests:
         denied = next((d for d in sorted(request) if limits.get(d) is not None and used[d] + request[d] > limits[d]), None)
-        out.append(denied)
+        yield denied
         if denied is None:
             used.update(request)
-    return out
 
 
 def stalls(signals: list[tuple[str, float]], window: int) -> list[int]:
     """Positions at which a run has made no progress for ``window`` signals: (state, value); told once until progress."""
-    out, best, since, told = [], float("-inf"), 0, False
-    for i, (_, value) in enumerate(signals):
+    return [i for i, stalled in enumerate(stalling((value for _, value in signals), window)) if stalled]
+
+
+def stalling(values: Iterable[float], window: int) -> Iterator[bool]:
+    """Of each value whether ``stalls`` tells of it."""
+    best, since, told = float("-inf"), 0, False
+    for value in values:
         if value > best:
             best, since, told = value, 0, False
         else:
             since += 1
-        if since >= window and not told:
-            out.append(i)
-            told = True
-    return out
+        stalled = since >= window and not told
+        told = told or stalled
+        yield stalled
 
 
 def per_case(rows: DataFrame, case: str, order: list[str], work, schema: str) -> DataFrame:
-    """Apply ``work`` (the rows of one case, in ``order`` -> list of rows) to each case.
+    """Apply ``work`` (iterator of the rows of one case, in ``order`` -> iterable of rows) to each case.
 
-    Cases are dealt by key and stand one after the other in a task, which holds
-    one of them at a time; many small cases cost one frame, not one each.
+    Cases are dealt by key and stand one after the other in a task, which hands
+    their rows to ``work`` one by one; many small cases cost one frame, not one
+    each. A case is one task's, however long; what is held of it is up to ``work``.
     """
     columns = [part.split()[0] for part in schema.split(",")]
 
@@ -134,10 +163,11 @@ def per_case(rows: DataFrame, case: str, order: list[str], work, schema: str) ->
         made: list[tuple] = []
         lines = (row for pdf in frames for row in pdf.itertuples(index=False))
         for _, own in groupby(lines, key=lambda row: getattr(row, case)):
-            made += work(list(own))
-            if len(made) >= 10_000:
-                yield pd.DataFrame(made, columns=columns)
-                made = []
+            for row in work(own):
+                made.append(row)
+                if len(made) >= 10_000:
+                    yield pd.DataFrame(made, columns=columns)
+                    made = []
         yield pd.DataFrame(made, columns=columns)
 
     return rows.repartition(case).sortWithinPartitions(case, *order).mapInPandas(run, schema)

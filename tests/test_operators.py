@@ -101,3 +101,23 @@ def test_images_never_exceed_places(hits, images, k):
     kept = selection.merge_images(hits, images, k)
     assert len(kept) <= k and len({i for i, _ in kept}) == len(kept)
     assert {s for _, s in hits[:k]} <= {s for _, s in kept} | {s for _, s in images}
+
+
+def test_cases_are_read_row_by_row(spark):
+    rng = random.Random(4)
+    values = [rng.randint(0, 9) for _ in range(200)]
+    assert [i for i, x in enumerate(selection.stalling(iter(values), 3)) if x] == selection.stalls([("s", v) for v in values], 3)
+    endless = ({"x": 1} for _ in iter(int, 1))
+    denied = selection.reserving(endless, {"x": 2})
+    assert [next(denied) for _ in range(4)] == [None, None, "x", "x"]
+    for _ in range(300):
+        searches = [[(100 * c + i, rng.randint(0, 3)) for i in range(rng.randint(1, 12))] for c in range(rng.randint(1, 5))]
+        k = rng.randint(1, 6)
+        assert selection.round_robin_of(((c, *hit) for c, own in enumerate(searches) for hit in own), k) == selection.round_robin(searches, k)
+    df = spark.range(1000).selectExpr("id % 2 as case", "id")
+
+    def work(rows):
+        assert not isinstance(rows, list)
+        return ((r.case, r.id) for r in rows if r.id >= 990)
+
+    assert sorted(r["id"] for r in selection.per_case(df, "case", ["id"], work, "case long, id long").collect()) == list(range(990, 1000))
