@@ -124,12 +124,21 @@ def f16_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + CHUNKS_SQL + """, a AS (SELECT doc_id, n, content, source, lang FROM chunks WHERE length(content) >= 20)
 SELECT x.lang, count(*) AS pairs, sum(x.n) AS s FROM a x JOIN a y ON x.lang = y.lang AND x.source = y.source AND x.n = y.n AND substr(x.content, 1, 12) = substr(y.content, 1, 12) AND x.doc_id < y.doc_id AND x.content <> y.content GROUP BY x.lang""")
 def j14_consistency_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of lines at one place of one source with the same beginning and different text."""
-    rows = chunks(table(spark, sf_dir, "documents")).where(F.length("content") >= 20).select("doc_id", "n", "source", "lang", F.substring("content", 1, 12).alias("head"), v.content_hash(F.col("content")).alias("h"), "content")
-    x, y = rows.alias("x"), rows.alias("y")
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("lang", "source", "n", "head")]
-    met = x.join(y, on + [F.col("x.doc_id") < F.col("y.doc_id"), F.col("x.content") != F.col("y.content")])
-    return met.groupBy(F.col("x.lang").alias("lang")).agg(F.count("*").alias("pairs"), F.sum("x.n").alias("s"))
+    """Pairs of lines at one place of one source with the same beginning and different text.
+
+    No pair is made: twice the pairs of a place are N^2 less those of one document,
+    less those of one text, plus those of both (counts squared, summed over each).
+    Texts are told apart by their SHA-256, which is what is shuffled.
+    """
+    rows = chunks(table(spark, sf_dir, "documents")).where("length(content) >= 20 and doc_id is not null and lang is not null and source is not null")
+    place = ["lang", "source", "n", "head"]
+    counts = rows.select("doc_id", "n", "source", "lang", F.substring("content", 1, 12).alias("head"), F.unhex(F.sha2("content", 256)).alias("text")).groupBy(*place, "text", "doc_id").agg(F.count("*").alias("c"))
+    sets = [place, [*place, "doc_id"], [*place, "text"]]
+    both = F.sum(F.col("c").cast("decimal(14,0)") * F.col("c").cast("decimal(14,0)"))
+    sums = counts.groupingSets(sets, *place, "text", "doc_id").agg(F.sum("c").cast("decimal(18,0)").alias("c"), both.alias("both"), (F.grouping("text") + F.grouping("doc_id")).alias("wide"))
+    twice = F.when(F.col("wide") == 1, -F.col("c") * F.col("c")).otherwise(F.col("c") * F.col("c") + F.col("both"))
+    told = sums.select("lang", "n", twice.alias("twice")).groupBy("lang", "n").agg((F.sum("twice") / 2).cast("long").alias("pairs"))
+    return told.groupBy("lang").agg(F.sum("pairs").alias("pairs"), F.sum(F.col("n") * F.col("pairs")).alias("s")).where("pairs > 0")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'assistant'), e AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'assistant')

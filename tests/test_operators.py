@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexarium.functions.text import casefolded, facets, search_terms, terms
 from lexarium.operators import graph, lifecycle, retrieval, selection
+from lexarium.sources.tables import chunks
 
 
 def one(spark, column, value):
@@ -121,3 +122,22 @@ def test_cases_are_read_row_by_row(spark):
         return ((r.case, r.id) for r in rows if r.id >= 990)
 
     assert sorted(r["id"] for r in selection.per_case(df, "case", ["id"], work, "case long, id long").collect()) == list(range(990, 1000))
+
+
+def test_consistency_pairs_are_counted_not_made(spark, tmp_path):
+    from lexarium.jobs.lifecycle import j14_consistency_self_join
+
+    heads, ends = ["alike beginning of ", "another beginning "], ["one text", "two texts", "three texts"]
+    rng = random.Random(2)
+    docs = [(rng.randint(0, 30), "\n".join(rng.choice(heads) + rng.choice(ends) for _ in range(3)), rng.choice(["s", None]), rng.choice(["en", "de", None])) for _ in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = j14_consistency_self_join(spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    lines = chunks(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    want = {}
+    for x in lines:
+        for y in lines:
+            if None not in (x["lang"], x["source"]) and [x[c] for c in ("lang", "source", "n")] == [y[c] for c in ("lang", "source", "n")] and x["content"][:12] == y["content"][:12] and x["doc_id"] < y["doc_id"] and x["content"] != y["content"]:
+                pairs, s = want.get(x["lang"], (0, 0))
+                want[x["lang"]] = pairs + 1, s + x["n"]
+    assert want and {r["lang"]: (r["pairs"], r["s"]) for r in out.collect()} == want
