@@ -2,7 +2,9 @@
 
 A word's vector is the mean of the embeddings of its character 3- and 4-grams and
 of the word itself (hashed into ``BUCKETS`` rows), so an unseen misspelling
-shares most of a known word's vectors. A text is read in windows of ``WINDOW``
+shares most of a known word's vectors. A run of over ``LONG`` letters is read
+whole, parted at underscores and else in overlapping pieces that count as
+words. A text is read in windows of ``WINDOW``
 words, each the average of its words' vectors put through a linear softmax; the
 text's score is that of its most toxic window, so that a few words in a long
 text are not averaged away. Embeddings and softmax are trained together by
@@ -47,25 +49,44 @@ MOST_FALSE = 0.02
 EPSILON = 1e-4
 #: Words that a task remembers; then it starts anew.
 CACHE = 250_000
+#: Letters beyond which a run is no word, those of each of the overlapping pieces that then count as words, and their mark.
+LONG = 40
+PIECE = 12
+INSIDE = "\0"
+#: Words that are looked up at once.
+AT_ONCE = 50_000
 _WORDS = re.compile(r"\w+").findall
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS(text.lower())
+    found = _WORDS(text.lower())
+    if max(map(len, found), default=0) <= LONG:
+        return found
+    return [piece for word in found for piece in pieces(word)]
+
+
+def pieces(word: str) -> list[str]:
+    """The words of a run of over LONG letters: it is parted at underscores, and a part that is still as long
+    (a script without spaces) goes in overlapping pieces that hold each of its 3- and 4-grams. INSIDE begins a piece."""
+    if len(word) <= LONG:
+        return [word]
+    if (parts := [p for p in word.split("_") if p]) != [word]:
+        return [piece for p in parts for piece in pieces(p)] or ["_"]
+    shown = f"<{word}>"
+    return [INSIDE + shown[i : i + PIECE] for i in range(0, len(shown) - 3, PIECE - 3)]
 
 
 def buckets_of(word: str) -> list[int]:
-    """The word's own bucket and those of its 3- and 4-grams between boundary marks."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]  # a run of letters, not a word
-    shown = f"<{word}>"
+    """The word's own bucket and those of its 3- and 4-grams between boundary marks; of a piece only those of its n-grams."""
+    inside = word[0] == INSIDE
+    shown = word[1:] if inside else f"<{word}>"
     n = len(shown)
     if shown.isascii():
         data, crc = shown.encode(), zlib.crc32
         grams = [crc(data), *[crc(data[i : i + 3]) for i in range(n - 2)], *[crc(data[i : i + 4]) for i in range(n - 3)]]
     else:
         grams = [zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in (shown, *(shown[i : i + k] for k in (3, 4) for i in range(n - k + 1)))]
-    return [g & (BUCKETS - 1) for g in grams]
+    return [g & (BUCKETS - 1) for g in grams[inside:]]
 
 
 def window_bounds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +111,12 @@ class Model:
         if len(known) > CACHE:
             known.clear()
         if fresh := [w for w in set(words) if w not in known]:
-            rows = [buckets_of(w) for w in fresh]
-            width = np.array([len(r) for r in rows])
-            sums = np.add.reduceat(self.side[np.array([b for r in rows for b in r])], np.cumsum(width) - width)
-            known.update(zip(fresh, (sums / width).tolist()))
+            for lo in range(0, len(fresh), AT_ONCE):
+                some = fresh[lo : lo + AT_ONCE]
+                rows = [buckets_of(w) for w in some]
+                width = np.array([len(r) for r in rows])
+                sums = np.add.reduceat(self.side[np.array([b for r in rows for b in r])], np.cumsum(width) - width)
+                known.update(zip(some, (sums / width).tolist()))
         upto = np.concatenate([[0.0], np.cumsum([known[w] for w in words])])
         starts, ends = window_bounds(len(words))
         # a short text is averaged over a full window: one odd word alone proves little

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from lexarium.llm import toxicity as t
@@ -50,3 +51,16 @@ def test_nothing_to_learn_from(spark):
     marks = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     model = t.train(docs, marks, t.F.lit(True))
     assert {r["score"] for r in t.score(docs, model).collect()} == {0.0}
+
+
+def test_long_runs_are_read_whole(make_prose):
+    run = "".join(f"{i:x}é" for i in range(500))
+    shown = f"<{run}>"
+    grams = {zlib.crc32(shown[i : i + k].encode()) & (t.BUCKETS - 1) for k in (3, 4) for i in range(len(shown) - k + 1)}
+    assert {b for w in t.words_of(run) for b in t.buckets_of(w)} == grams
+    assert t.words_of("a" * t.LONG) == ["a" * t.LONG] and t.words_of("_" * 50) == ["_"]
+    model = t.fit(*corpus(make_prose, 400, 1))
+    clean = make_prose(random.Random(12), 60).split()
+    bad = clean[:30] + BAD * 3 + clean[30:]
+    assert model.score("_".join(bad)) == model.score(" ".join(bad)) >= t.THRESHOLD > model.score("_".join(clean))
+    assert model.score("".join(bad)) >= t.THRESHOLD and model.score("".join(bad)) > model.score("".join(clean))
