@@ -16,16 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only a session
-    without one (a local test) gets a temporary folder.
+    The folder is the one that ``spark.checkpoint.dir`` names.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexarium-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a session in one JVM (a local test) may do without: it gets a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="lexarium-")
+
+
 def crc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(buckets)
 

@@ -58,10 +58,46 @@ def test_equals_brute_force_with_small_and_large_nodes(spark, make_prose, odd_te
     assert kept == {c for c, _ in want.values()}
 
 
-def test_depth_reaches_the_recall():
-    d = s.matched_depth()
-    assert 1 - (1 - s.THRESHOLD**d) ** s.TREES >= s.RECALL
-    assert 1 - (1 - s.THRESHOLD ** (d + 1)) ** s.TREES < s.RECALL
+def test_prefixes_are_shortened_until_the_recall():
+    exact = [0] * (s.BINS - 1) + [100_000]
+    near = [30_000] + exact[1:]
+    assert s.next_depth(exact, s.DEPTH) == s.DEPTH
+    deep = s.next_depth(near, s.DEPTH)
+    assert deep < s.next_depth([1000] + exact[1:], s.DEPTH) < s.DEPTH
+    assert s.recalls(near, s.DEPTH)[deep] >= s.RECALL > s.recalls(near, s.DEPTH)[deep + 1]
+    assert s.next_depth([0] * s.BINS, 4) == 4 and s.next_depth([0] * s.BINS, s.DEPTH) <= 5
+
+
+def test_recall_of_pairs_at_the_threshold(spark, make_prose):
+    rng = random.Random(12)
+    docs, pairs = [], 60
+    for k in range(pairs):
+        words = [f"{w}{k}" for w in make_prose(rng, 200).split()]
+        words += [f"x{k}x{i}" for i in range(200 - len(words))]
+        other = list(words)
+        for at in (25, 65, 105, 145):  # 4 * 5 of 196 shingles differ
+            other[at] += "y"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert all(n == (2 * (k // 2), 1) for k, n in brute(docs).items())
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in s.linked_documents(df).collect()} == brute(docs)
+
+
+def test_candidates_grow_with_the_classes(spark, make_prose):
+    rng = random.Random(4)
+    base = make_prose(rng, 300).split()
+    docs = []
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(len(words))] = f"odd{i}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = df.selectExpr("doc_id as doc", "xxhash64(text) as mark", "text")
+    found = rows.mapInArrow(s._signature_rows, s.SIGNED).selectExpr("cls as rep", "trie", "sketch")
+    n = s._met(s._entries(found), 5).count()
+    assert 399 <= n <= 400 * s.TREES
+    got = s.linked_documents(df).collect()
+    assert {r["class_id"] for r in got} == {0} and all(r["n_links"] == 399 for r in got)
 
 
 def test_odd_rows(spark):
