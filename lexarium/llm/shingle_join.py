@@ -16,9 +16,9 @@ probability 1 - (1 - s^d)^TREES. While the share that is missed exceeds
 1 - ``RECALL``, prefixes are shortened to the most values at which those
 similarities reach the recall, and what meets then is compared too.
 
-Classes of a trie node of at most ``SMALL`` are linked to a spanning forest of
-the pairs that their sketches don't rule out, those of a larger node in a chain
-along the sort order, so candidates grow with the classes, never with their pairs.
+Classes of a trie node of at most ``SMALL`` are tied where chains of pairs that
+their sketches don't rule out join them, those of a larger node all to its
+first, so candidates grow with the classes, never with their pairs.
 Connected candidates form a family, and within each family every pair is
 compared exactly, block against block: each block of about ``BLOCK`` classes (fewer
 if long) meets each other block in a task of its own, which sends on counts and
@@ -157,17 +157,19 @@ def agreements(sketches: np.ndarray) -> np.ndarray:
     return _EQUAL_PAIRS[sketches[:, None, :] ^ sketches[None, :, :]].sum(axis=2)
 
 
-def spanning(likely: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a small graph."""
+def stars(likely: np.ndarray) -> list[tuple[int, int]]:
+    """Of each component of a small graph an edge from its first node to each other."""
     left, out = set(range(len(likely))), []
     while left:
-        line = [left.pop()]
+        first = min(left)
+        left.remove(first)
+        line = [first]
         while line:
-            a = line.pop()
-            for b in [b for b in left if likely[a, b]]:
-                left.remove(b)
-                line.append(b)
-                out.append((a, b))
+            near = [b for b in left if likely[line[-1], b]]
+            line.pop()
+            left.difference_update(near)
+            line += near
+            out += [(first, b) for b in near]
     return out
 
 
@@ -204,19 +206,19 @@ def _met_rows(depth: int):
     width = 1 + 2 * depth
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("side", pa.int32()), ("entry", pa.binary())])
 
-    def edges_of(reps: np.ndarray, sketches: np.ndarray, chained: bool) -> list[tuple[int, int]]:
+    def edges_of(reps: np.ndarray, sketches: np.ndarray, whole: bool) -> list[tuple[int, int]]:
         if len(reps) < 2:
             return []
-        if chained or len(reps) > SMALL:
-            return list(zip(reps[:-1].tolist(), reps[1:].tolist()))
-        return [(int(reps[i]), int(reps[j])) for i, j in spanning(agreements(sketches) >= AGREED)]
+        if whole or len(reps) > SMALL:
+            return [(int(reps[0]), b) for b in reps[1:].tolist()]
+        return [(int(reps[i]), int(reps[j])) for i, j in stars(agreements(sketches) >= AGREED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        # the first and the last node of a partition may go on in its neighbours: they are chained, and so is the rest of a large node
-        held, chained, ends = None, True, []
+        # the first and the last node of a partition may go on in its neighbours: they are taken whole, and so is the rest of a large node
+        held, whole, ends = None, True, []
         for rows in batches:
             if not rows.num_rows:
                 continue
@@ -233,14 +235,16 @@ def _met_rows(depth: int):
             for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
                 if k < len(bounds) - 2:
                     lo, hi = bounds[k], bounds[k + 1]
-                    found += edges_of(reps[lo:hi], sketches[lo:hi], chained and k == 0)
+                    found += edges_of(reps[lo:hi], sketches[lo:hi], whole and k == 0)
             if len(bounds) > 2:
-                chained = False
+                whole = False
             lo = bounds[-2]
             if len(keys) - lo > SMALL:
                 found += edges_of(reps[lo:], sketches[lo:], True)
-                lo, chained = len(keys) - 1, True
-            held = keys[lo:], reps[lo:], sketches[lo:]
+                whole = True
+                held = keys[lo : lo + 1], reps[lo : lo + 1], sketches[lo : lo + 1]
+            else:
+                held = keys[lo:], reps[lo:], sketches[lo:]
             yield _edge_batch(found, schema)
         if held is not None:
             yield _edge_batch(edges_of(held[1], held[2], True), schema)
@@ -349,7 +353,10 @@ def _met(entries: DataFrame, depth: int) -> DataFrame:
     width = 1 + 2 * depth
     ends = made.where("part is not null").select("a", "side", F.substring("entry", 1, width).alias("own"), F.lag("a").over(line).alias("b"), F.lag(F.substring("entry", 1, width)).over(line).alias("before"))
     over = ends.where("side = 0 and own = before").select("a", "b")
-    return made.where("part is null").select("a", "b").union(over).where("a <> b").distinct()
+    edges = made.where("part is null").select("a", "b").union(over).where("a <> b")
+    # a class has at most one first class in each tree; it keeps the least, which is tied to the others: trees that hold the same classes fall together
+    tied = edges.groupBy("b").agg(F.collect_set("a").alias("firsts")).select("b", "firsts", F.array_min("firsts").alias("a"))
+    return tied.select("a", "b").union(tied.select("a", F.explode("firsts").alias("b")).where("a <> b").distinct())
 
 
 def _compared(rows: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
