@@ -1,37 +1,45 @@
-"""Line dedup by pairwise alignment: documents that share a rare run of lines are aligned by patience diff.
+"""Line dedup by pairwise alignment: documents that share rare lines are aligned by patience diff.
 
 Lines are compared after lower-casing and with white space collapsed; blank
-lines take no part. Each line starts a run, the shortest stretch from it that
-has ``MIN_WORDS`` words. A run that several documents share makes a pair of its
-first holder (least doc_id) with each later one, so a run held by n documents
-makes n - 1 pairs, not n squared, and every common block of at least
-``MIN_WORDS`` words that an earlier document holds lies in some pair. Each pair
-is aligned by patience diff over runs: those unique on both sides, ordered by
-the longest increasing subsequence, grown to blocks of neighbouring runs; what is left is aligned
-again until no shared run is uncovered. Aligned blocks are deleted from the
-later document.
-
-So a line goes if it lies in a run that an earlier document has too. Within one
-document nothing is deleted for repeating itself. A null text is an empty one;
-rows without doc_id are kept as they are. Rows of the same doc_id and text are
-one document; rows of one doc_id with other texts come in the order of a hash
-of the text. Further columns are kept.
+lines take no part. Anchors are what tells documents apart: lines of at least
+``LINE_WORDS`` words, and runs, the shortest stretches of at least
+``BLOCK_WORDS`` words from each line on and up to each line. An anchor that
+several documents hold makes a pair of its first holder (least doc_id) with each
+later one, so an anchor held by n documents makes n - 1 pairs, not n squared.
+
+Each pair is aligned by patience diff: lines that occur once on both sides, in
+the longest chain that keeps their order, grown over equal neighbours; between
+them the same again. Aligned blocks of at least ``LINE_WORDS`` words are deleted
+from the later document. What was moved is not aligned; of it only common blocks
+of at least ``BLOCK_WORDS`` words go. Each line of a common block of that size
+lies in a run within the block, and the run's first holder has the block's part
+of it, so every line of such a block that any earlier document has goes.
+
+Within one document nothing is deleted for repeating itself. A null text is an
+empty one; an empty table gives an empty one; very long texts are read whole,
+and take time and memory in proportion to their lines. Rows without doc_id are kept as
+they are. Rows of the same doc_id and text are one document; rows of one doc_id
+with other texts come in the order of a hash of the text. Further columns are
+kept, whatever their names. Joins by a very common line are left to Spark's
+splitting of skewed partitions.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm._shared import durable, table, text_or_empty
 
-MIN_WORDS = 50
+LINE_WORDS = 10
+BLOCK_WORDS = 50
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -46,22 +54,29 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
     return at, hashes, sizes
 
 
-def runs_of(hashes: list[int], sizes: list[int], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(run hash, first line, line after the last) of the shortest stretch from each line with enough words."""
+def runs_of(hashes: list[int], sizes: list[int], least: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
+    """(run hash, first line, line after the last) of the shortest stretches with enough words from each line on and up to each line."""
     upto = [0]
     for n in sizes:
         upto.append(upto[-1] + n)
-    out = []
+    bounds = set()
     for i in range(len(hashes)):
-        j = bisect_left(upto, upto[i] + least, i + 1)
-        if j >= len(upto):
-            break
-        out.append((xxhash.xxh3_64_intdigest(np.array(hashes[i:j], dtype=np.int64).tobytes()) >> 1, i, j))
-    return out
+        if (j := bisect_left(upto, upto[i] + least, i + 1)) < len(upto):
+            bounds.add((i, j))
+        if upto[i + 1] >= least:
+            k = bisect_left(upto, upto[i + 1] - least + 1) - 1
+            bounds.add((k, i + 1))
+    packed = np.array(hashes, dtype=np.int64)
+    return [(xxhash.xxh3_64_intdigest(packed[i:j].tobytes()) >> 1, i, j) for i, j in sorted(bounds)]
+
+
+def anchors_of(hashes: list[int], sizes: list[int], line: int = LINE_WORDS, block: int = BLOCK_WORDS) -> list[int]:
+    """Hashes of the runs and long lines by which a document is paired."""
+    return sorted({h for h, n in zip(hashes, sizes) if n >= line} | {key for key, _, _ in runs_of(hashes, sizes, block)})
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest chain of pairs, sorted by their first, whose second increases."""
+    """The longest chain of pairs, sorted by their first, whose second increases; of equally long ones that which ends last."""
     tails: list[int] = []
     ends: list[int] = []
     before: list[int] = []
@@ -81,55 +96,56 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(early: tuple[list[int], list[int]], late: tuple[list[int], list[int]], least: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Line ranges [from, to) of ``late`` that stand as blocks of enough words in ``early`` too. Each side: hashes, sizes."""
-    mine = runs_of(*late, least)
-    theirs: dict[int, list[int]] = {}
-    for key, i, _ in runs_of(*early, least):
-        theirs.setdefault(key, []).append(i)
-    theirs_at = {i: key for key, places in theirs.items() for i in places}
-    mine_at = {i: (key, j) for key, i, j in mine}
-    left = [(key, i, j) for key, i, j in mine if key in theirs]
-    covered = [False] * len(late[0])
-    blocks: list[tuple[int, int]] = []
-    while left:
-        count: dict[int, int] = {}
-        for key, _, _ in left:
-            count[key] = count.get(key, 0) + 1
-        unique = [(theirs[key][0], i) for key, i, _ in left if count[key] == 1 and len(theirs[key]) == 1]
-        if not unique:  # repeated runs: the n-th here with the n-th there
-            nth: dict[int, int] = {}
-            for key, i, _ in left:
-                n = nth.get(key, 0)
-                nth[key] = n + 1
-                unique.append((theirs[key][min(n, len(theirs[key]) - 1)], i))
-        for a, b in _increasing(sorted(set(unique))):
-            lo = 0
-            while mine_at.get(b - lo - 1, (None,))[0] is not None and mine_at[b - lo - 1][0] == theirs_at.get(a - lo - 1):
-                lo += 1
-            hi = 0
-            while mine_at.get(b + hi + 1, (None,))[0] is not None and mine_at[b + hi + 1][0] == theirs_at.get(a + hi + 1):
-                hi += 1
-            block = (b - lo, mine_at[b + hi][1])
-            blocks.append(block)
-            covered[block[0] : block[1]] = [True] * (block[1] - block[0])
-        left = [(key, i, j) for key, i, j in left if not all(covered[i:j])]
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places of equal lines that patience diff aligns, in order."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted(blocks):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a_lo, a_hi, b_lo, b_hi = todo.pop()
+        while a_lo < a_hi and b_lo < b_hi and a[a_lo] == b[b_lo]:
+            out.append((a_lo, b_lo))
+            a_lo, b_lo = a_lo + 1, b_lo + 1
+        while a_lo < a_hi and b_lo < b_hi and a[a_hi - 1] == b[b_hi - 1]:
+            a_hi, b_hi = a_hi - 1, b_hi - 1
+            out.append((a_hi, b_hi))
+        times_a, times_b = Counter(a[a_lo:a_hi]), Counter(b[b_lo:b_hi])
+        place = {h: i for i, h in enumerate(b[b_lo:b_hi], b_lo) if times_b[h] == 1}
+        chain = _increasing([(i, place[h]) for i, h in enumerate(a[a_lo:a_hi], a_lo) if times_a[h] == 1 and h in place])
+        if not chain:
+            continue
+        # an anchor opens the stretch behind it, which grows from there
+        for (i, j), (i_next, j_next) in zip([(a_lo, b_lo), *chain], [*chain, (a_hi, b_hi)]):
+            todo.append((i, i_next, j, j_next))
+    return sorted(out)
+
+
+def common_lines(early: tuple[list[int], list[int]], late: tuple[list[int], list[int]], line: int = LINE_WORDS, block: int = BLOCK_WORDS) -> list[int]:
+    """Places in ``late`` that go: aligned blocks of at least ``line`` words, moved ones of at least ``block``. Each side: hashes, sizes."""
+    hashes, sizes = late
+    gone: set[int] = set()
+    own: list[int] = []
+    last = (-2, -2)
+    for i, j in [*patience(early[0], hashes), (-9, -9)]:
+        if (i - 1, j - 1) != last:
+            if sum(sizes[k] for k in own) >= line:
+                gone.update(own)
+            own = []
+        own.append(j)
+        last = (i, j)
+    there = {key for key, _, _ in runs_of(*early, block)}
+    for key, i, j in runs_of(hashes, sizes, block):
+        if key in there:
+            gone.update(range(i, j))
+    return sorted(gone)
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("anchors", pa.list_(pa.int64()))])
     for rows in batches:
         cells: list[list] = [[], [], [], []]
         for text in rows.column(2).to_pylist():
             at, hashes, sizes = line_hashes(text)
-            for cell, value in zip(cells, (at, hashes, sizes, sorted({k for k, _, _ in runs_of(hashes, sizes)}))):
+            for cell, value in zip(cells, (at, hashes, sizes, anchors_of(hashes, sizes))):
                 cell.append(value)
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, f.type) for c, f in zip(cells, list(schema)[2:]))], schema=schema)
 
@@ -139,39 +155,41 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         gone = []
         for at, hashes, sizes, early_hashes, early_sizes in zip(*(rows.column(i).to_pylist() for i in range(2, 7))):
-            blocks = common_blocks((early_hashes, early_sizes), (hashes, sizes))
-            gone.append([at[i] for lo, hi in blocks for i in range(lo, hi)])
+            gone.append([at[i] for i in common_lines((early_hashes, early_sizes), (hashes, sizes))])
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(gone, schema.field(2).type)], schema=schema)
 
 
-def _mark():
+def _mark(text: str = "text") -> Column:
     """Tells rows of one doc_id apart: equal texts are equal."""
-    return F.xxhash64(text_or_empty())
+    return F.xxhash64(text_or_empty(text))
 
 
 def deleted_lines(docs: DataFrame) -> DataFrame:
-    """(doc, mark, gone): numbers of the lines that go from each later document."""
+    """(doc, mark, gone): numbers of the lines that go from each later document, in order."""
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), _mark().alias("mark"), text_or_empty().alias("text"))
-    lines = durable(keyed.mapInArrow(_line_rows, "doc long, mark long, at array<int>, hashes array<long>, sizes array<int>, runs array<long>"))
-    held = lines.select(F.struct("doc", "mark").alias("who"), F.explode("runs").alias("run"))
-    firsts = held.groupBy("run").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first <> last").select("run", "first")
-    pairs = held.join(firsts, "run").where("first < who").select("who", "first").distinct()
-    sides = lines.dropDuplicates(["doc", "mark"]).select(F.struct("doc", "mark").alias("who"), "at", "hashes", "sizes").where(F.size("hashes") > 0)
+    lines = durable(keyed.mapInArrow(_line_rows, "doc long, mark long, at array<int>, hashes array<long>, sizes array<int>, anchors array<long>"))
+    held = lines.select(F.struct("doc", "mark").alias("who"), F.explode("anchors").alias("anchor"))
+    firsts = held.groupBy("anchor").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first <> last").select("anchor", "first")
+    pairs = held.join(firsts, "anchor").where("first < who").select("who", "first").distinct()
+    sides = lines.select(F.struct("doc", "mark").alias("who"), "at", "hashes", "sizes").where(F.size("hashes") > 0).dropDuplicates(["who"])
     early = sides.select(F.col("who").alias("first"), F.col("hashes").alias("early_hashes"), F.col("sizes").alias("early_sizes"))
     both = pairs.join(sides, "who").join(early, "first").select("who.doc", "who.mark", "at", "hashes", "sizes", "early_hashes", "early_sizes")
     parts = both.mapInArrow(_align_rows, "doc long, mark long, gone array<int>")
-    return parts.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return parts.where(F.size("gone") > 0).groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def aligned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__lines`` (array of its lines) and ``__gone`` (numbers of those to delete)."""
-    gone = deleted_lines(docs).where(F.size("gone") > 0).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    """``docs`` (doc_id, text and others) with ``__lines`` (array of its lines) and ``__gone`` (numbers of those to delete, null if none)."""
+    gone = deleted_lines(docs).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
     rows = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__mark", _mark())
     return rows.join(gone, ["__doc", "__mark"], "left").drop("__doc", "__mark").withColumn("__lines", F.split(text_or_empty(), "\n", -1))
 
 
-def _kept():
-    return F.array_join(F.transform(F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("__gone", p["i"])), lambda p: p["x"]), "\n")
+def _kept() -> Column:
+    """The lines between those that go."""
+    lines, gone = F.col("__lines"), F.col("__gone")
+    before, behind = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines)))
+    return F.array_join(F.flatten(F.zip_with(before, behind, lambda a, b: F.slice(lines, a + 2, b - a - 1))), "\n")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -179,8 +197,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Documents without a deletion keep their text as it was, null and empty included.
     """
-    out = aligned(docs).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_kept()))
-    return out.where(F.col("__gone").isNull() | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # under names of their own, columns that are called like the operator's stay what they were
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)], "doc_id", "text")
+    out = aligned(own).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_kept()))
+    left = out.where(F.col("__gone").isNull() | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    return left.select(*[F.col("text" if c.lower() == "text" else f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,22 +212,3 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.coalesce("__gone", F.array().cast("array<int>")), ",").alias("deleted_lines"),
         F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
     )
-
-
-#: DuckDB: a line goes if a run of lines that holds it stands in an earlier document too.
-ORACLE = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i - 1 AS pos, trim(regexp_replace(lower(ls[i]), '\\s+', ' ', 'g')) AS s FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
-n AS (SELECT doc_id, pos, s, len(string_split(s, ' ')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM l WHERE s <> ''),
-c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM n),
-r AS (SELECT a.doc_id, a.p AS lo, min(b.p) AS hi FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.upto - a.upto + a.w >= 50 AND b.p >= a.p GROUP BY ALL),
-k AS (SELECT r.doc_id, lo, hi, md5(string_agg(c.s, chr(10) ORDER BY c.p)) AS key FROM r JOIN c ON c.doc_id = r.doc_id AND c.p BETWEEN lo AND hi GROUP BY ALL),
-f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
-g AS (SELECT DISTINCT c.doc_id, c.pos FROM k JOIN f USING (key) JOIN c ON c.doc_id = k.doc_id AND c.p BETWEEN k.lo AND k.hi WHERE f.first < k.doc_id),
-o AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS gone FROM g GROUP BY doc_id),
-t AS (SELECT d.doc_id, coalesce(string_agg(ls[i], chr(10) ORDER BY i), '') AS kept FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d) d
-      LEFT JOIN g ON g.doc_id = d.doc_id AND g.pos = i - 1 WHERE g.pos IS NULL GROUP BY d.doc_id)
-SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted, coalesce(gone, '') AS deleted_lines,
-       CAST(length(coalesce(kept, '')) AS BIGINT) AS n_chars_kept, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN o USING (doc_id) LEFT JOIN t USING (doc_id)
-"""
