@@ -8,12 +8,15 @@
    a page that has none of them, or no host, uses its own best container.
 
 Elements that never hold main text (navigation, forms, scripts ...) and those
-whose role, id or class names say so are left out, reader comments included.
+whose role, id or class names say so are left out, reader comments included;
+a name that only begins with such a word ("form-factor") says nothing. Buttons and labels
+within a sentence are text, standing alone they are not.
 Inline markup vanishes, character references are decoded, white space inside a
 block becomes one space, and blocks are joined by a newline in page order.
 
-Null and empty pages give the empty text. Equal pages give equal results; pages
-that are cut off are read to their end. Further columns are not needed and do
+Null and empty pages give the empty text. Equal and repeated pages give equal
+results; paths with equal votes come in the order of their names. Pages that are
+cut off, and very long ones, are read to their end. An empty table gives an empty one. Further columns are not needed and do
 not enter. All hosts' winning paths are joined to the pages by host, with the
 hot hosts' rows dealt over ``SALTS`` parts, unless the winners are few enough
 to be broadcast (``MAX_BROADCAST_ROWS``, counted first).
@@ -28,14 +31,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexarium.llm._shared import durable, table
 
 SALTS = 16
 MAX_BROADCAST_ROWS = 50_000
-#: Winning paths of a host that are kept, by votes; a page with none of them uses its own.
-PATHS = 8
+#: Of its host's votes a path needs at least this share to speak for it; a page with no such path uses its own.
+SHARE = 0.005
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)(?:>|(?=<)|\Z)")
 _ATTR = re.compile(r"([a-zA-Z_:@][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -43,7 +45,7 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: Elements whose content is raw: markup in it is not read.
 _RAW = {"script", "style", "title", "textarea", "noscript", "xmp", "iframe", "noembed", "noframes"}
 #: Elements that never hold main text.
-_OUT = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "template", "svg", "math", "canvas", "object", "embed", "audio", "video", "map", "menu", "dialog", "datalist"}
+_OUT = _RAW | {"head", "nav", "footer", "aside", "form", "select", "option", "input", "fieldset", "template", "svg", "math", "canvas", "object", "embed", "audio", "video", "map", "menu", "dialog", "datalist"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _BLOCK = {
     "html", "body", "head", "div", "p", "article", "section", "main", "header", "footer", "nav", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd",
@@ -58,7 +60,9 @@ _CLOSES = {
 _PARAGRAPH_BOUNDS = {"#root", "article", "section", "main", "div", "li", "dd", "tr", "blockquote", "body", "aside", "nav", "header", "footer", "form"}
 _SPACED = {"br", "hr", "td", "th", "img"}
 _STACKED = _BLOCK | _OUT
-_KNOWN = _STACKED | _VOID | {"a"}
+#: Inline, but a block of which they are all is none of the text.
+_CONTROLS = {"button", "label"}
+_KNOWN = _STACKED | _VOID | _CONTROLS | {"a"}
 _RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class, id and role names that mark what is not main text.
@@ -67,6 +71,9 @@ _MARKS = set(
     "sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus respond reply replies share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login search searchbox widget widgets pagination pager toolbar complementary contentinfo form dialog paywall disclaimer".split()
 )
+#: Of these, names that mean something else in a longer name ("form-factor"): they mark only at its end, other words of place or build apart.
+_AMBIGUOUS = set("ad ads form header notice notices alert banner search share sharing social related reply replies respond login signup widget widgets dialog disclaimer menu overlay promo promotion subscription".split())
+_NEUTRAL = set("area bar block box button buttons card cards container content group inner item items left link links list main outer posts articles primary right row secondary section slot title top bottom unit wrap wrapper".split())
 _MAIN_MARKS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 
 
@@ -80,7 +87,17 @@ def _marked(attrs: dict[str, str]) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    return bool(names) and any(w.lower() in _MARKS for w in _SPLIT.split(names) if w)
+    return any(_names_aside(name) for name in names.split())
+
+
+def _names_aside(name: str) -> bool:
+    """Whether one class, id or role is of what is not main text."""
+    words = [w.lower() for w in _SPLIT.split(name) if w]
+    if any(w in _MARKS and w not in _AMBIGUOUS for w in words):
+        return True
+    while len(words) > 1 and words[-1] in _NEUTRAL:
+        words.pop()
+    return bool(words) and words[-1] in _MARKS
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
@@ -97,20 +114,20 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        open_now, open_tags, bits, links, linked = [0], ["#root"], [], 0, 0
+        open_now, open_tags, bits, links, linked, control, controlled, loose = [0], ["#root"], [], 0, 0, 0, 0, 0
         elements, blocks, known = self.elements, self.blocks, _KNOWN
 
         def end_block() -> None:
-            nonlocal linked
-            if bits:
+            nonlocal linked, control, controlled, loose
+            if bits and (loose or not controlled):
                 text = "".join(bits)
                 if "&" in text:
                     text = html.unescape(text)
                 text = " ".join(text.split())
                 if text:
                     blocks.append((text, open_now[-1], min(linked, len(text))))
-                bits.clear()
-            linked = 0
+            bits.clear()
+            linked = control = controlled = loose = 0
 
         position, n, find, match = 0, len(source), source.find, _TAG.match
         while position < n:
@@ -120,6 +137,8 @@ class Page:
             if start > position:
                 bits.append(source[position:start])
                 linked += (start - position) * (links > 0)
+                if not source[position:start].isspace():
+                    controlled, loose = controlled + (control > 0), loose + (control == 0)
             m = match(source, start)
             if m is None:
                 position = self._past(source, start, bits)
@@ -129,6 +148,9 @@ class Page:
             tag = tag.lower()
             if tag not in known:
                 continue
+            if tag in _CONTROLS:
+                control = 0 if closing else 1
+                continue
             if closing:
                 if tag == "a":
                     links = 0
@@ -175,6 +197,7 @@ class Page:
             open_tags.append(tag)
         if position < len(source):
             bits.append(source[position:])
+            loose += control == 0 and not source[position:].isspace()
         end_block()
 
     @staticmethod
@@ -187,7 +210,7 @@ class Page:
         if following in ("!", "?", "/") and following or following.isalpha():
             stop = source.find(">", start)
             return stop + 1 if stop >= 0 else len(source)
-        bits.append("<")
+        bits.append("<")  # text goes on behind it
         return start + 1
 
     @staticmethod
@@ -293,11 +316,19 @@ def extract(source: str, paths: list[str]) -> str:
         at: list[str] = [""]
         for parent, _, label, *_ in page.elements[1:]:
             at.append(f"{at[parent]}/{label}" if parent else label)
+        places: dict[str, set[int]] = {}
+        for i, own in enumerate(at):
+            if i and not out[i]:
+                places.setdefault(own, set()).add(i)
         for path in paths:
-            if roots := {i for i, own in enumerate(at) if i and own == path and not out[i]}:
-                return page.text(roots, out)
+            if path in places:
+                return page.text(places[path], out)
     top, _ = page.best(out)
-    return page.text({top}, out)
+    roots = {top}
+    if page.elements[top][1] == "article":
+        path = page.path(top)
+        roots |= {i for i, e in enumerate(page.elements) if e[1] == "article" and not out[i] and page.path(i) == path}
+    return page.text(roots, out)
 
 
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,12 +359,13 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): at most PATHS generalised paths, by votes."""
+    """(host, paths): the generalised paths with at least SHARE of the host's votes (so 200 at most), by votes, equal ones by name."""
     votes = _hosted(pages).where("host <> ''").select("host", "html").mapInArrow(_vote_rows, "host string, path string, score double")
     # whole votes: their sum is the same in any order
     summed = votes.groupBy("host", "path").agg(F.sum(F.col("score").cast("long")).alias("score"))
-    best = summed.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "path"))).where(F.col("r") <= PATHS)
-    return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("paths"))
+    whole = summed.groupBy("host").agg(F.sum("score").alias("all"))
+    best = summed.join(whole, "host").where(F.col("score") >= SHARE * F.col("all"))
+    return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ words, each the average of its words' vectors put through a linear softmax; the
 text's score is that of its most toxic window, so that a few words in a long
 text are not averaged away. Embeddings and softmax are trained together by
 Adam on whole labelled texts; which window speaks for a text is learnt with
-them. The score is then calibrated on labelled texts that were not fitted.
+them. The score is calibrated by models of parts of the labelled texts on those they were not fitted to.
 
 Learning rows: at most ``SAMPLE`` of each label, those with the least hash of
 doc_id, of at most ``MAX_CHARS`` characters each. These two bounds are the size
@@ -43,7 +43,8 @@ SAMPLE = 2500
 MAX_CHARS = 20_000
 THRESHOLD = 0.3
 EPOCHS = 70
-FEW = 1500
+#: Parts of the learning texts; each is scored by a model of the others to calibrate the score.
+FOLDS = 5
 MOST_FALSE = 0.02
 #: Added to Adam's root: an n-gram that few texts share learns slowly.
 EPSILON = 1e-4
@@ -137,60 +138,70 @@ class Nothing:
 def fit(texts: list[str], labels: list[int], prior: float | None = None, seed: int = 7):
     """A calibrated model. ``prior``: the share of label 1 among all labels.
 
-    A fifth of the texts (by a hash) is not fitted but calibrates; of fewer than
-    ``FEW`` texts each fifth in turn, so that all of them do.
+    Each of ``FOLDS`` parts of the texts (by a hash) is scored by a model of the
+    others, which calibrates the model that is fitted to all of them.
     """
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Nothing()
-    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 for t in texts])
+    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts])
+    read = Texts(texts)
     z, seen = np.zeros(len(y)), np.zeros(len(y), dtype=bool)
-    model = None
-    for k in range(5 if len(y) < FEW else 1):
+    for k in range(FOLDS):
         mine, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(set(y[mine])) < 2 or not len(rest):
             continue
-        model = _train([texts[i] for i in mine], y[mine], seed)
-        for i in rest:
-            logit = model.logit(texts[i])
-            if logit is not None:
-                z[i], seen[i] = logit, True
-    if len(y) < FEW:
-        model = _train(texts, y, seed)
+        read.logits(_train(read, mine, y[mine], seed), rest, z, seen)
+    model = _train(read, np.arange(len(texts)), y, seed)
     if len(set(y[seen])) < 2:  # too few texts to hold any back
-        found = [model.logit(t) for t in texts]
-        seen = np.array([f is not None for f in found])
-        z = np.array([f if f is not None else 0.0 for f in found])
+        read.logits(model, np.arange(len(texts)), z, seen)
     if seen.any():
         model.scale, model.shift = calibration(z[seen], y[seen], prior)
-    model.known = {}  # what was looked up here is not sent on
     return model
 
 
-def _train(texts: list[str], y: np.ndarray, seed: int) -> Model:
-    """Embeddings and softmax together, by Adam over all the texts."""
-    types: dict[str, int] = {}
-    tokens = [np.array([types.setdefault(w, len(types)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    flat, width = array("i"), np.zeros(len(types), dtype=np.int64)
-    for k, word in enumerate(types):
-        own = buckets_of(word)
-        width[k] = len(own)
-        flat.extend(own)
-    at = np.cumsum(width) - width
-    bucket = np.frombuffer(flat, dtype=np.int32)
-    # buckets that no learning text has stay zero: they say nothing
-    used, bucket = np.unique(bucket, return_inverse=True)
-    fitted = [i for i in range(len(texts)) if len(tokens[i])]
+class Texts:
+    """Learning texts, read once: the numbers of their words, and of each word its buckets."""
+
+    def __init__(self, texts: list[str]):
+        types: dict[str, int] = {}
+        self.tokens = [np.array([types.setdefault(w, len(types)) for w in words_of(t)], dtype=np.int32) for t in texts]
+        flat, self.width = array("i"), np.zeros(len(types), dtype=np.int64)
+        for k, word in enumerate(types):
+            own = buckets_of(word)
+            self.width[k] = len(own)
+            flat.extend(own)
+        self.bucket = np.frombuffer(flat, dtype=np.int32) if len(flat) else np.zeros(0, np.int32)
+        self.at = np.cumsum(self.width) - self.width
+
+    def logits(self, model: Model, rows: np.ndarray, z: np.ndarray, seen: np.ndarray) -> None:
+        """Put into ``z`` what ``model.logit`` gives for those of the ``rows`` that have words."""
+        word = np.add.reduceat(model.side[self.bucket], self.at) / self.width if len(self.at) else np.zeros(0)
+        for i in rows:
+            if n := len(self.tokens[i]):
+                upto = np.concatenate([[0.0], np.cumsum(word[self.tokens[i]])])
+                starts, ends = window_bounds(n)
+                z[i], seen[i] = ((upto[ends] - upto[starts]) / np.maximum(ends - starts, WINDOW // 2)).max() + model.bias, True
+
+
+def _train(read: Texts, rows: np.ndarray, y: np.ndarray, seed: int) -> Model:
+    """Embeddings and softmax together, by Adam over the texts ``rows``."""
+    fitted = [k for k, i in enumerate(rows) if len(read.tokens[i])]
     if not fitted:
         return Model(np.zeros((BUCKETS, DIM)), np.zeros((2, DIM)), 0.0, 1.0, 0.0)
-    stream = np.concatenate([tokens[i] for i in fitted])
+    # words that these texts have, numbered anew, and their buckets: what no learning text has stays zero and says nothing
+    types, stream = np.unique(np.concatenate([read.tokens[rows[k]] for k in fitted]), return_inverse=True)
+    width = read.width[types]
+    at = np.cumsum(width) - width
+    used, bucket = np.unique(read.bucket[np.repeat(read.at[types] - at, width) + np.arange(width.sum())], return_inverse=True)
     starts, ends, owner, base = [], [], [], 0
     for k, i in enumerate(fitted):
-        s, e = window_bounds(len(tokens[i]))
+        n = len(read.tokens[rows[i]])
+        s, e = window_bounds(n)
         starts.append(s + base)
         ends.append(e + base)
         owner.append(np.full(len(s), k))
-        base += len(tokens[i])
+        base += n
     starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
     length = np.maximum(ends - starts, WINDOW // 2).astype(np.float64)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -223,9 +234,7 @@ def _train(texts: list[str], y: np.ndarray, seed: int) -> Model:
         bag = np.add.reduceat(share * logit, first)
         error = (1 / (1 + np.exp(-bag)) - target) * weight
         pull = share * error[owner] / length
-        cover = np.zeros(len(stream) + 1)
-        np.add.at(cover, starts, pull)
-        np.add.at(cover, ends, -pull)
+        cover = np.bincount(starts, pull, len(stream) + 1) - np.bincount(ends, pull, len(stream) + 1)
         by_type = np.bincount(stream, weights=np.cumsum(cover)[:-1], minlength=len(types)) / width
         by_bucket = np.bincount(bucket, weights=np.repeat(by_type, width), minlength=len(used))
         grad_side = by_bucket @ emb + 1e-5 * side

@@ -16,6 +16,34 @@ def test_cases():
         assert h.extract(source, []) == want, source
 
 
+def test_names_controls_and_sibling_articles():
+    long = "A paragraph with quite a number of words in it, so that it counts as text of the page."
+    assert h.extract(f'<body><article><p>{long}</p><div class="form-factor"><p>It is small.</p></div><div class="search-form"><p>Find</p></div><p>End.</p></article>', []) == f"{long}\nIt is small.\nEnd."
+    assert h.extract(f"<article><p>{long}</p><p>Use <label>key</label> here and <button>press</button> it.</p><div><button>Share</button> <label>Name</label></div></article>", []) == f"{long}\nUse key here and press it."
+    assert h.extract(f"<body><article><p>{long}</p></article><article><p>The second.</p></article><aside><article><p>no</p></article></aside>", []) == f"{long}\nThe second."
+    assert [h._names_aside(n) for n in ("ad-slot", "related-posts", "header-image", "cookie-box", "comments", "adSlot", "story", "site-footer-wide")] == [True, True, False, True, True, True, False, True]
+
+
+def test_nine_templates_and_very_long_pages(spark):
+    rows = []
+    for k in range(9):
+        for i in range(2 + (k < 8)):
+            rows.append((3 * k + i, "http://a.example/x", page("".join(f"<p>Paragraph {j} of a text in template {k}.</p>" for j in range(5)), f"kind{'abcdefghi'[k]}")))
+    # alone, the box would win on this page of the rarest template
+    rows.append((100, "http://a.example/y", page("<p>tiny</p>", "kindi").replace("short note below the text", "a longer note that says more than the text does")))
+    rows.append((200, "http://b.example/long", page("<p>many words of a long page</p>" * 60_000)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages).collect()}
+    assert got[100] == "tiny"
+    assert got[200].count("\n") == 59_999
+
+
+def test_paths_with_equal_votes_come_by_name(spark):
+    rows = [(i, "http://a.example/", f"<body><div class={c}><p>{'same text ' * 9}</p></div>") for i, c in enumerate("bbaa")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert h.winning_paths(pages).first()["paths"] == ["body/div.a", "body/div.b"]
+
+
 def page(body, css="entry"):
     return f'<html><body><div class="menu"><a href="/">x</a></div><div class="{css}">{body}</div><div class="box"><p>short note below the text</p></div></body></html>'
 
