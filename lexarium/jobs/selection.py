@@ -16,15 +16,10 @@ from lexarium.sources.tables import chunks, table
 @query()
 def x09_image_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's even lines are its hits, odd ones images; suppliers are sources; five places."""
-
-    def work(own):
-        rows = list(own)
-        hits = [(r.l_linenumber, r.source) for r in rows]
-        kept = s.merge_images([h for h in hits if h[0] % 2 == 0], [h for h in hits if h[0] % 2 == 1], 5)
-        return [(rows[0].l_orderkey, place, line, source) for place, (line, source) in enumerate(kept, 1)]
-
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 4).alias("source"))
-    return s.per_case(rows, "l_orderkey", ["l_linenumber", "source"], work, "l_orderkey long, place long, line long, source long")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("long").alias("id"), (F.col("l_suppkey") % 4).alias("source")).alias("hit"))
+    cases = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("hit")).alias("all"))
+    kept = s.with_images(F.filter("all", lambda h: h["id"] % 2 == 0), F.filter("all", lambda h: h["id"] % 2 == 1), 5)
+    return cases.select("l_orderkey", F.posexplode(kept).alias("at", "hit")).select("l_orderkey", (F.col("at") + 1).cast("long").alias("place"), F.col("hit.id").alias("line"), "hit.source")
 
 
 @query()
@@ -43,14 +38,10 @@ def x11_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x17_context_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth line of a document is a hit; a budget of 120 terms."""
-
-    def work(own):
-        rows = list(own)
-        own = [(r.n, r.cost) for r in rows]
-        return [(rows[0].doc_id, place, n, role) for place, (n, role) in enumerate(s.expand_context([n for n, _ in own if n % 4 == 2], own, 120), 1)]
-
     rows = chunks(table(spark, sf_dir, "documents")).select("doc_id", "n", F.size(latin_terms(F.lower("content"))).alias("cost"))
-    return s.per_case(rows, "doc_id", ["n"], work, "doc_id long, place long, n long, role string")
+    cases = s.around_hits(rows, "doc_id", "n", "cost", F.col("n") % 4 == 2)
+    taken = cases.select("doc_id", F.posexplode(s.within_budget(F.col("wanted"), 120)).alias("at", "x"))
+    return taken.select("doc_id", (F.col("at") + 1).cast("long").alias("place"), F.col("x.place").alias("n"), "x.role")
 
 
 @query()

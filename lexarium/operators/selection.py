@@ -1,8 +1,8 @@
-"""Selectors whose next step depends on what was taken before, one bounded case at a time.
+"""Selectors whose next step depends on what was taken before.
 
-Each runs over cases that Spark deals and sorts. Selectors that may meet a hot
-case read its rows one by one and hold a bounded state; those that hold a case
-as a list (``merge_images``, ``expand_context``) are for the hits of one query.
+Those for the hits of one query (``with_images``, ``within_budget``) are folds
+of column functions over an array. The others run over cases that Spark deals
+and sorts; they read a case's rows one by one and hold a bounded state.
 """
 
 from __future__ import annotations
@@ -12,63 +12,62 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def merge_images(documents: list[tuple], images: list[tuple], k: int) -> list[tuple]:
-    """``documents`` and ``images``: (id, source) in order. An image takes the place of its source's last hit,
-    else of the last hit of a source that has several, else a free place, else none."""
-    out = list(documents[:k])
-    seen = {i for i, _ in out}
-    for image in images:
-        if image[0] in seen:
-            continue
-        own = [p for p, (_, source) in enumerate(out) if source == image[1]]
-        if not own:
-            times = Counter(source for _, source in out)
-            own = [p for p, (_, source) in enumerate(out) if times[source] > 1]
-        if own:
-            out[own[-1]] = image
-        elif len(out) < k:
-            out.append(image)
-        else:
-            continue
-        seen.add(image[0])
-    return out
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def expand_context(hits: list[int], rows: list[tuple[int, int]], budget: int, around: int = 1) -> list[tuple[int, str]]:
-    """``hits``: places in order; ``rows``: (place, cost) of the section. (place, role) that fit the budget.
+def with_images(hits: Column, images: Column, k: int) -> Column:
+    """Arrays of (id, source) in order: the first ``k`` hits, into which each new image is put.
 
-    The first is always taken; a hit that doesn't fit ends the selection, an
-    anchor (the section's first row) or neighbour that doesn't fit is passed over.
+    It takes the place of the last entry of its own source, else of the last entry whose source
+    stands there more than once, else a free place, else none.
     """
-    cost = dict(rows)
-    order = [place for place, _ in rows]
-    at = {place: i for i, place in enumerate(order)}
-    out: list[tuple[int, str]] = []
-    used, seen = 0, set()
-
-    def add(place: int, role: str) -> bool:
-        nonlocal used
-        if place in seen:
-            return True
-        if out and used + cost[place] > budget:
-            return False
-        seen.add(place)
-        out.append((place, role))
-        used += cost[place]
-        return True
-
-    for hit in hits:
-        if not add(hit, "hit"):
-            break
-        add(order[0], "anchor")
-        for step in range(1, around + 1):
-            for i in (at[hit] - step, at[hit] + step):
-                if 0 <= i < len(order):
-                    add(order[i], "neighbour")
-    return out
+    def put(places: Column, image: Column) -> Column:
+        sources = F.transform(places, lambda h: h["source"])
+        mine = F.array_max(F.transform(places, lambda h, i: F.when(h["source"] == image["source"], i)))
+        spare = F.array_max(F.transform(places, lambda h, i: F.when(F.size(F.filter(sources, lambda x: x == h["source"])) > 1, i)))
+        at = F.coalesce(mine, spare, F.when(F.size(places) < k, F.size(places)))
+        taken = F.exists(places, lambda h: h["id"] == image["id"]) | at.isNull()
+        return F.when(taken, places).otherwise(F.concat(F.slice(places, 1, at), F.array(image), F.slice(places, at + 2, F.size(places))))
+
+    return F.aggregate(images, F.slice(hits, 1, k), put)
+
+
+def around_hits(rows: DataFrame, section: str, place: str, cost: str, hit: Column, around: int = 1) -> DataFrame:
+    """(section, wanted): for each hit of a section, in order, itself, the section's first row and its neighbours, the nearer first.
+
+    ``wanted`` is an array of (place, cost, role).
+    """
+    line = Window.partitionBy(section).orderBy(place)
+    own = F.struct(F.col(place).alias("place"), F.col(cost).alias("cost"))
+    near = [f(own, step).over(line) for step in range(1, around + 1) for f in (F.lag, F.lead)]
+    roles = [(own, "hit"), (F.first(own).over(line), "anchor"), *((n, "neighbour") for n in near)]
+    wanted = F.array(*[F.when(c.isNotNull(), F.struct(c["place"].alias("place"), c["cost"].alias("cost"), F.lit(role).alias("role"))) for c, role in roles])
+    met = rows.select(section, place, hit.alias("hit"), F.filter(wanted, lambda x: x.isNotNull()).alias("wanted")).where("hit")
+    ordered = F.array_sort(F.collect_list(F.struct(place, "wanted")))
+    return met.groupBy(section).agg(F.flatten(F.transform(ordered, lambda x: x["wanted"])).alias("wanted"))
+
+
+def within_budget(wanted: Column, budget: int) -> Column:
+    """Array of (place, role): what of ``wanted`` (place, cost, role) fits, each place once.
+
+    The first is always taken; a hit that doesn't fit ends the selection, anything else that doesn't is passed over.
+    """
+    nothing = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("ended"), F.array().cast("array<struct<place:bigint,role:string>>").alias("taken"))
+
+    def step(state: Column, x: Column) -> Column:
+        taken, used = state["taken"], state["used"]
+        fresh = ~F.exists(taken, lambda t: t["place"] == x["place"])
+        fits = (F.size(taken) == 0) | (used + x["cost"] <= budget)
+        take = ~state["ended"] & fresh & fits
+        return F.struct(
+            F.when(take, used + x["cost"]).otherwise(used).cast("long").alias("used"),
+            (state["ended"] | (fresh & ~fits & (x["role"] == "hit"))).alias("ended"),
+            F.when(take, F.concat(taken, F.array(F.struct(x["place"].cast("long").alias("place"), x["role"].alias("role"))))).otherwise(taken).alias("taken"),
+        )
+
+    return F.aggregate(wanted, nothing, step)["taken"]
 
 
 def round_robin(searches: list[list[tuple]], k: int) -> list[tuple]:

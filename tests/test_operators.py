@@ -1,8 +1,6 @@
 import math
 import random
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexarium.functions.text import casefolded, facets, search_terms, terms
@@ -73,18 +71,42 @@ def test_graph(spark):
     assert {got[i] for i in range(41)} == {0} and got[110] >= 100
 
 
-def test_images():
+def images(spark, cases, k):
+    """with_images of (hits, images) pairs."""
+    rows = [(n, [(str(i), c) for i, c in hits], [(str(i), c) for i, c in own]) for n, (hits, own) in enumerate(cases)]
+    entry = "array<struct<id:string,source:int>>"
+    df = spark.createDataFrame(rows, f"n int, hits {entry}, images {entry}")
+    return [[tuple(x) for x in r["kept"]] for r in df.select("n", selection.with_images(F.col("hits"), F.col("images"), k).alias("kept")).orderBy("n").collect()]
+
+
+def test_images(spark):
     hits = [("a", 1), ("b", 1), ("c", 2)]
-    assert selection.merge_images(hits, [("x", 2)], 3) == [("a", 1), ("b", 1), ("x", 2)]
-    assert selection.merge_images(hits, [("x", 9)], 3) == [("a", 1), ("x", 9), ("c", 2)]
-    assert selection.merge_images(hits[1:], [("x", 9), ("y", 8)], 3) == [("b", 1), ("c", 2), ("x", 9)]
+    cases = [(hits, [("x", 2)]), (hits, [("x", 9)]), (hits[1:], [("x", 9), ("y", 8)]), (hits, [("b", 2), ("x", 2), ("x", 1)]), ([], [])]
+    assert images(spark, cases, 3) == [
+        [("a", 1), ("b", 1), ("x", 2)], [("a", 1), ("x", 9), ("c", 2)], [("b", 1), ("c", 2), ("x", 9)], [("a", 1), ("b", 1), ("x", 2)], [],
+    ]
+
+
+def test_images_never_exceed_places(spark):
+    rng = random.Random(11)
+    for k in range(1, 6):
+        cases = [[list({rng.randint(0, 30): rng.randint(0, 4) for _ in range(rng.randint(0, most))}.items()) for most in (12, 6)] for _ in range(60)]
+        for (hits, own), kept in zip(cases, images(spark, cases, k)):
+            assert len(kept) <= k and len({i for i, _ in kept}) == len(kept)
+            assert {c for _, c in hits[:k]} <= {c for _, c in kept} | {c for _, c in own}
 
 
-def test_context():
-    rows = [(1, 5), (2, 50), (3, 5), (4, 60), (5, 5)]
-    assert selection.expand_context([4], rows, 70) == [(4, "hit"), (1, "anchor"), (3, "neighbour")]
-    assert selection.expand_context([4], rows, 1) == [(4, "hit")]
-    assert selection.expand_context([3, 4, 5], rows, 30) == [(3, "hit"), (1, "anchor")]
+def test_context(spark):
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 50), (1, 3, 5), (1, 4, 60), (1, 5, 5)], "section int, place int, cost int")
+
+    def taken(hits, budget):
+        wanted = selection.around_hits(rows, "section", "place", "cost", F.col("place").isin(hits))
+        return [tuple(x) for x in wanted.select(selection.within_budget(F.col("wanted"), budget).alias("taken")).first()["taken"]]
+
+    assert taken([4], 70) == [(4, "hit"), (1, "anchor"), (3, "neighbour")]
+    assert taken([4], 1) == [(4, "hit")]
+    assert taken([3, 4, 5], 30) == [(3, "hit"), (1, "anchor")]
+    assert taken([2, 4], 1000) == [(2, "hit"), (1, "anchor"), (3, "neighbour"), (4, "hit"), (5, "neighbour")]
 
 
 def test_small_selectors():
@@ -95,15 +117,6 @@ def test_small_selectors():
     assert selection.round_robin([[("a", 1), ("b", 1)], [("a", 1), ("c", 2)]], 3) == [("a", 1), ("c", 2), ("b", 1)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 4)), max_size=12), st.lists(st.tuples(st.integers(0, 30), st.integers(0, 4)), max_size=6), st.integers(1, 6))
-def test_images_never_exceed_places(hits, images, k):
-    hits = list(dict(hits).items())
-    kept = selection.merge_images(hits, images, k)
-    assert len(kept) <= k and len({i for i, _ in kept}) == len(kept)
-    assert {s for _, s in hits[:k]} <= {s for _, s in kept} | {s for _, s in images}
-
-
 def test_cases_are_read_row_by_row(spark):
     rng = random.Random(4)
     values = [rng.randint(0, 9) for _ in range(200)]
