@@ -19,6 +19,20 @@ def casefolded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+#: Characters beyond those that NFKC and case folding change no further than ``lower`` and the sharp s do.
+UNUSUAL = r"[^\x00-\x9f¡-§©«-®°±¶·»¿-ÿŒœ–—‘-„†-•€㐀-鿿]"
+
+
+def folded(text: Column) -> Column:
+    """``casefolded``, but only texts with unusual characters go to Python."""
+    return F.coalesce(casefolded(F.when(text.rlike(UNUSUAL), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+
+
+def index_terms(text: Column) -> Column:
+    """Terms of folded text; the step per term is taken only where there are Han characters."""
+    return F.when(text.rlike("[㐀-鿿]"), terms(text)).otherwise(latin_terms(text))
+
+
 def terms(text: Column) -> Column:
     """Terms of lower-cased text in order; a Han run becomes its bigrams, a single Han character itself."""
     runs = F.regexp_extract_all(text, F.lit(TERM), F.lit(1))

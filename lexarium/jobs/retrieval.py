@@ -6,38 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexarium.functions.text import facets, hex_bucket, latin_terms, readable, search_terms
+from lexarium.functions.text import facets, folded, hex_bucket, readable, search_terms
 from lexarium.jobs.registry import query
 from lexarium.operators import retrieval as r
-from lexarium.sources.tables import CHUNKS_SQL, chunks, table
+from lexarium.sources.tables import CHUNKS_SQL, chunks, spread, table
 
 TERM_SQL = "'[a-z][a-z0-9_.-]*|[0-9]+'"
-POSTINGS_SQL = f"""post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TERM_SQL})) AS term FROM documents) GROUP BY ALL),
-lens AS (SELECT doc_id, len(regexp_extract_all(lower(text), {TERM_SQL})) AS len FROM documents),
+POSTINGS_SQL = f"""post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), {TERM_SQL})) AS term FROM documents) GROUP BY ALL),
+lens AS (SELECT doc_id, len(regexp_extract_all(replace(lower(text), 'ß', 'ss'), {TERM_SQL})) AS len FROM documents),
 stats AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-qt AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), {TERM_SQL})) AS term FROM benchmark) GROUP BY ALL)"""
+qt AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), {TERM_SQL})) AS term FROM benchmark) GROUP BY ALL)"""
 BM25_SQL = POSTINGS_SQL + """,
 scored AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score, count(*) AS n_terms
            FROM post JOIN qt USING (term) JOIN df USING (term) JOIN lens USING (doc_id), stats GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    posts = r.postings(docs, "doc_id", "text")
-    return r.bm25(posts, r.lengths(docs, "doc_id", "text"), r.query_terms(items, "item_id", "text"), "doc_id", "item_id", **how)
+def _corpus(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").where(where).select("doc_id", "text"))
 
 
-@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TERM_SQL})) AS term FROM documents) GROUP BY ALL")
+def _bm25(spark: SparkSession, sf_dir: str, where: str = "true", **how) -> DataFrame:
+    terms = r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return r.bm25(r.hits(_corpus(spark, sf_dir, where), ["doc_id"], "text", terms), terms, "doc_id", "item_id", **how)
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), {TERM_SQL})) AS term FROM documents) GROUP BY ALL")
 def t01_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return r.postings(_corpus(spark, sf_dir), "doc_id", "text")
 
 
-@query("""SELECT conv_id, turn, list_aggregate(flatten(list_transform(regexp_extract_all(lower(text), '[a-z][a-z0-9_.-]*|[0-9]+'),
+@query("""SELECT conv_id, turn, list_aggregate(flatten(list_transform(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z][a-z0-9_.-]*|[0-9]+'),
  lambda t: list_concat([t], list_filter(string_split_regex(t, '[_.]+'), lambda p: length(p) >= 2 AND p <> t)))), 'string_agg', ' ') AS terms FROM conversations""")
 def t02_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_join(search_terms(F.lower("text")), " ")
+    found = F.array_join(search_terms(folded(F.col("text"))), " ")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(found != "", found).alias("terms"))
 
 
@@ -63,8 +66,7 @@ def t10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + POSTINGS_SQL + " SELECT term, df, sum(tf) AS cf FROM df JOIN post USING (term) GROUP BY ALL")
 def a01_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = r.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return r.term_statistics(_corpus(spark, sf_dir), "doc_id", "text")
 
 
 @query("WITH " + BM25_SQL + " SELECT item_id, doc_id, rank, round(score, 5) AS score FROM bm WHERE rank <= 5")
@@ -75,27 +77,22 @@ def r01_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + POSTINGS_SQL + """,
 f AS (SELECT doc_id, 4.0 AS weight, regexp_extract(text, '^[^\\n]*') AS body FROM documents UNION ALL SELECT doc_id, 1.0, text FROM documents),
-fp AS (SELECT doc_id, weight, term, count(*) AS tf FROM (SELECT doc_id, weight, unnest(regexp_extract_all(lower(body), '[a-z][a-z0-9_.-]*|[0-9]+')) AS term FROM f) GROUP BY ALL),
-fl AS (SELECT doc_id, weight, len(regexp_extract_all(lower(body), '[a-z][a-z0-9_.-]*|[0-9]+')) AS len FROM f),
+fp AS (SELECT doc_id, weight, term, count(*) AS tf FROM (SELECT doc_id, weight, unnest(regexp_extract_all(replace(lower(body), 'ß', 'ss'), '[a-z][a-z0-9_.-]*|[0-9]+')) AS term FROM f) GROUP BY ALL),
+fl AS (SELECT doc_id, weight, len(regexp_extract_all(replace(lower(body), 'ß', 'ss'), '[a-z][a-z0-9_.-]*|[0-9]+')) AS len FROM f),
 fa AS (SELECT weight, greatest(avg(len), 1) AS avg_len FROM fl GROUP BY weight),
 s AS (SELECT item_id, doc_id, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / fa.avg_len))) AS score
       FROM fp JOIN qt USING (term) JOIN df USING (term) JOIN fl USING (doc_id, weight) JOIN fa USING (weight), stats GROUP BY ALL)
 SELECT item_id, doc_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def r02_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line at weight 4 and whole text at weight 1, each with its own lengths; document frequencies shared."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    terms = r.query_terms(items, "item_id", "text")
-    wanted = r.small(terms.join(r.frequencies(r.postings(docs, "doc_id", "text")), "term"))
-    n = docs.agg(F.count("*").alias("n"))
-    parts = []
-    for weight, body in ((4.0, F.substring_index("text", "\n", 1)), (1.0, F.col("text"))):
-        rows = docs.select("doc_id", body.alias("body"))
-        lens = r.lengths(rows, "doc_id", "body")
-        mean = lens.agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-        met = r.postings(rows, "doc_id", "body").join(wanted, "term").join(lens, "doc_id").join(F.broadcast(mean)).join(F.broadcast(n))
-        part = weight * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-        parts.append(met.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score")))
-    both = parts[0].union(parts[1]).groupBy("item_id", "doc_id").agg(F.sum("score").alias("score"))
+    terms = r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    fields = F.array(F.struct(F.lit(4.0).alias("weight"), F.substring_index("text", "\n", 1).alias("body")), F.struct(F.lit(1.0).alias("weight"), F.col("text").alias("body")))
+    keys = ["doc_id", "weight"]
+    found = r.hits(_corpus(spark, sf_dir).select("doc_id", F.inline(fields)), keys, "body", terms)
+    means = found.groupBy("weight").agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"), F.count("*").alias("n"))
+    tf = r.frequencies(found, keys)
+    wanted = terms.join(tf.where("weight = 1").groupBy("term").agg(F.count("*").alias("df")), "term")
+    both = tf.join(wanted, "term").join(F.broadcast(means), "weight").groupBy("item_id", "doc_id").agg(F.sum(F.col("weight") * r.bm25_part()).alias("score"))
     return r.top_k(both, "item_id", 5, *r.best_first("doc_id")).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
@@ -114,9 +111,7 @@ s AS (SELECT item_id, doc_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 SELECT item_id, doc_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def r04_bm25_scoped_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics over the scoped rows alone, and at least two matching terms."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    posts = r.postings(docs, "doc_id", "text")
-    scored = r.bm25(posts, r.lengths(docs, "doc_id", "text"), r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), "doc_id", "item_id", k=1.5, numerator=2.5, multiplicity=True)
+    scored = _bm25(spark, sf_dir, "lang = 'en'", k=1.5, numerator=2.5, multiplicity=True)
     best = r.top_k(scored.where("n_terms >= 2"), "item_id", 3, *r.best_first("doc_id"))
     return best.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
@@ -125,13 +120,13 @@ def _grams(width: int):
     return F.transform(F.sequence(F.lit(1), F.length("s") - (width - 1)), lambda i: F.substr("s", i, F.lit(width)))
 
 
-@query("""WITH t AS (SELECT item_id, regexp_replace(lower(text), '[ \\t\\r\\n]+', '', 'g') AS s FROM benchmark),
+@query("""WITH t AS (SELECT item_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \\t\\r\\n]+', '', 'g') AS s FROM benchmark),
 g AS (SELECT item_id, substr(s, i, w) AS g FROM (SELECT item_id, s, w, unnest(generate_series(1, length(s) - w + 1)) AS i FROM t, (VALUES (1), (2), (3)) v(w) WHERE length(s) >= w)),
 c AS (SELECT item_id, CAST('0x' || substr(sha256(g), 1, 8) AS BIGINT) % 512 AS dim, count(*) AS n FROM g GROUP BY ALL)
 SELECT item_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM c""")
 def r06_hash_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse form of the 512 buckets of character 1- to 3-grams, unit length."""
-    bare = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[ \\t\\r\\n]+", "").alias("s"))
+    bare = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(folded(F.col("text")), "[ \\t\\r\\n]+", "").alias("s"))
     grams = None
     for w in (1, 2, 3):
         own = bare.where(F.length("s") >= w).select("item_id", F.explode(_grams(w)).alias("g"))
@@ -169,15 +164,16 @@ def r14_vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_.-]*|[0-9]+')) AS ts FROM benchmark),
-w AS (SELECT item_id, unnest(ts) AS term FROM q), p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_.-]*|[0-9]+')) AS term FROM documents))
+@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z][a-z0-9_.-]*|[0-9]+')) AS ts FROM benchmark),
+w AS (SELECT item_id, unnest(ts) AS term FROM q), p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z][a-z0-9_.-]*|[0-9]+')) AS term FROM documents))
 SELECT item_id, doc_id, count(*) AS matched, round(count(*) / any_value(n), 6) AS ratio, CASE WHEN count(*) / any_value(n) >= 0.8 THEN 'strong' WHEN count(*) / any_value(n) >= 0.45 THEN 'partial' ELSE 'limited' END AS support
 FROM w JOIN p USING (term) JOIN (SELECT item_id, len(ts) AS n FROM q) USING (item_id) GROUP BY item_id, doc_id HAVING count(*) / any_value(n) >= 0.45""")
 def r17_query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a query's distinct terms that a document has, and what that says of its support; those of at least .45."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(latin_terms(F.lower("text"))).alias("ts"))
+    items = r.with_terms(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select("item_id", F.array_distinct("terms").alias("ts"))
     wanted = items.select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
-    met = r.postings(table(spark, sf_dir, "documents"), "doc_id", "text").join(r.small(wanted), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("matched"), F.first("n").alias("n"))
+    found = r.hits(_corpus(spark, sf_dir), ["doc_id"], "text", wanted)
+    met = found.select("doc_id", F.explode(F.array_distinct("hits")).alias("term")).join(r.small(wanted), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("matched"), F.first("n").alias("n"))
     ratio = F.col("matched") / F.col("n")
     return met.where(ratio >= 0.45).select("item_id", "doc_id", "matched", F.round(ratio, 6).alias("ratio"), F.when(ratio >= 0.8, "strong").when(ratio >= 0.45, "partial").otherwise("limited").alias("support"))
 
@@ -192,10 +188,10 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf_scor
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of each item: BM25 (list 0) and shared term counts (list 1), 50 rows each."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    posts, terms = r.postings(docs, "doc_id", "text"), r.query_terms(items, "item_id", "text")
-    bm = r.top_k(r.bm25(posts, r.lengths(docs, "doc_id", "text"), terms, "doc_id", "item_id"), "item_id", 50, *r.best_first("doc_id"))
-    counts = posts.join(r.small(terms), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("score"))
+    terms = r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = r.hits(_corpus(spark, sf_dir), ["doc_id"], "text", terms)
+    bm = r.top_k(r.bm25(found, terms, "doc_id", "item_id"), "item_id", 50, *r.best_first("doc_id"))
+    counts = r.frequencies(found, ["doc_id"]).join(r.small(terms), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("score"))
     by_count = r.top_k(counts, "item_id", 50, F.desc("score"), F.asc("doc_id"))
     return bm.select("item_id", F.lit(0).alias("list_id"), "doc_id", "rank").union(by_count.select("item_id", F.lit(1).alias("list_id"), "doc_id", "rank"))
 

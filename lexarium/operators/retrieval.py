@@ -6,28 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexarium.functions.text import latin_terms
+from lexarium.functions.text import folded, index_terms
+from lexarium.operators.graph import durable
 
 #: Query terms are broadcast up to this many rows; beyond it the join is left to a shuffle.
 BROADCAST_TERMS = 200_000
 
 
-def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf)."""
-    return rows.select(key, F.explode(latin_terms(F.lower(F.col(text)))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+#: Query terms that are written into the plan as a set; more are joined.
+LITERAL_TERMS = 20_000
 
 
-def lengths(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(key, F.size(latin_terms(F.lower(F.col(text)))).cast("long").alias("len"))
+def with_terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, terms): the terms of each text in order."""
+    return rows.select(*keys, folded(F.col(text)).alias("folded")).select(*keys, index_terms(F.col("folded")).alias("terms"))
 
 
-def statistics(lens: DataFrame) -> DataFrame:
-    """One row: number of rows and mean length, over the whole corpus and not only what a scope leaves."""
-    return lens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf)."""
+    return with_terms(rows, [key], text).select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
+def term_statistics(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, df, cf) without postings: both are summed by term before anything is shuffled."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    said = F.concat(
+        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), one.alias("df"), none.alias("cf"))),
+        F.transform("terms", lambda t: F.struct(t.alias("term"), none.alias("df"), one.alias("cf"))),
+    )
+    return with_terms(rows, [key], text).select(F.inline(said)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,22 +43,49 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``most`` rows; else leave the join to Spark."""
+    """Broadcast ``df`` if it has at most ``most`` rows; else leave the join to Spark. For query sides, which are cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bm25(posts: DataFrame, lens: DataFrame, terms: DataFrame, key: str, query: str, k: float = 1.2, b: float = 0.75, numerator: float = 2.2, multiplicity: bool = False) -> DataFrame:
-    """(query, key, score, n_terms): BM25 with statistics of all of ``lens``."""
-    stats = statistics(lens)
-    wanted = terms.join(frequencies(posts.join(small(terms.select("term").distinct()), "term", "left_semi")), "term")
-    met = posts.join(small(wanted), "term").join(lens, key).join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * numerator / (F.col("tf") + k * ((1 - b) + b * F.col("len") / F.col("avg_len")))
+def hits(rows: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
+    """(keys, len, hits) of each row: how many terms it has, and those that some query of ``terms`` has, repeats included.
+
+    The corpus is read and cut once; all that a batch of queries needs is written and read again.
+    """
+    cut = with_terms(rows, keys, text)
+    size = F.size("terms").cast("long").alias("len")
+    wanted = terms.select("term").distinct()
+    known = [r["term"] for r in wanted.limit(LITERAL_TERMS + 1).collect()]
+    if len(known) <= LITERAL_TERMS:
+        return durable(cut.select(*keys, size, F.filter("terms", lambda t: t.isin(known)).alias("hits")))
+    cut = durable(cut)
+    met = cut.select(*keys, F.explode("terms").alias("term")).join(small(wanted), "term", "left_semi").groupBy(*keys).agg(F.collect_list("term").alias("hits"))
+    return durable(cut.select(*keys, size).join(met, keys, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>"))))
+
+
+def frequencies(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, len, term, tf) of ``hits``."""
+    return found.select(*keys, "len", F.explode("hits").alias("term")).groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(found: DataFrame, terms: DataFrame, key: str, query: str, k: float = 1.2, b: float = 0.75, numerator: float = 2.2, multiplicity: bool = False) -> DataFrame:
+    """(query, key, score, n_terms) of ``hits``: BM25 with statistics of all rows, those without a hit included."""
+    stats = found.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    tf = frequencies(found, [key])
+    wanted = terms.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
+    met = tf.join(wanted, "term").join(F.broadcast(stats))
+    part = bm25_part(k, b, numerator)
     if multiplicity:
         part = part * F.col("qf")
     return met.groupBy(query, key).agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
 
 
+def bm25_part(k: float = 1.2, b: float = 0.75, numerator: float = 2.2) -> Column:
+    """What a term adds, of n, df, tf, len and avg_len."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * numerator / (F.col("tf") + k * ((1 - b) + b * F.col("len") / F.col("avg_len")))
+
+
 def top_k(scored: DataFrame, query: str, k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each query in a total order, with their rank."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan that gives fewer tasks than there are cores, dealt over all cores; a larger scan stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks(documents: DataFrame) -> DataFrame:
     """Non-blank lines: (chunk_id, doc_id, lang, source, n, content); n counts all lines from 1."""
     return (
