@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import table, text_or_empty
+from lexarium.llm._shared import spread, table, text_or_empty
 
 #: Pre-tokens that a Python worker remembers with their ids; then it starts anew.
 CACHE = 200_000
@@ -166,5 +166,5 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, ke
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)

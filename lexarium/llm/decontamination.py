@@ -11,23 +11,24 @@ words have no window. Repeated rows get equal results; further columns do not
 enter. The automaton is broadcast only up to ``MAX_CHARS`` characters of
 windows; a larger benchmark is cut by item into parts of at most that size,
 each scanned in turn, and the hits of the parts are put together per document row.
+The driver holds one part at a time, a worker one automaton.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import durable, table, text_or_empty
+from lexarium.llm._shared import durable, spread, table, text_or_empty
 
 WINDOW = 10
 #: Characters of windows in one broadcast automaton.
-MAX_CHARS = 24_000_000
+MAX_CHARS = 5_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER_LETTERS = {c: c + 32 for c in range(0x41, 0x5B)}
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -95,27 +96,39 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[lo][0], at[hi - 1][1]) for lo, hi in ranges]
 
 
-def _patterns(items: DataFrame, size: int) -> list[dict[bytes, list[str]]]:
-    """Windows by part; each part has at most MAX_CHARS characters (or one item)."""
-    parts: list[dict[bytes, list[str]]] = [{}]
+def _patterns(items: DataFrame, size: int) -> Iterator[dict[bytes, list[str]]]:
+    """Windows by part, one part after the other; each has at most MAX_CHARS characters (or one item)."""
+    part: dict[bytes, list[str]] = {}
     room = MAX_CHARS
     for item_id, text in items.select(F.col("item_id").cast("string"), text_or_empty()).toLocalIterator():
         own = set(windows_of(words_of(text), size))
         cost = sum(map(len, own))
-        if cost > room and parts[-1]:
-            parts, room = [*parts, {}], MAX_CHARS
+        if cost > room and part:
+            yield part
+            part, room = {}, MAX_CHARS
         room -= cost
         for w in own:
-            parts[-1].setdefault(w, []).append(str(item_id))
-    return parts
+            part.setdefault(w, []).append(str(item_id))
+    yield part
+
+
+#: The automaton that a worker built last, by its broadcast: tasks of one pass share it.
+_built: dict[str, Scanner] = {}
+
+
+def scanner_of(key: str, patterns_on) -> Scanner:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Scanner(patterns_on.value)
+    return _built[key]
 
 
 OUT = "__row long, n_words long, hits array<struct<lo:int,hi:int>>, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
-def _worker(patterns_on, n_kept: int, schema: pa.Schema, spans: bool):
+def _worker(key: str, patterns_on, n_kept: int, schema: pa.Schema, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(patterns_on.value)
+        scanner = scanner_of(key, patterns_on)
         for rows in batches:
             n, hits, at, items = [], [], [], []
             for text in rows.column(n_kept).to_pylist():
@@ -142,13 +155,13 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, spans: bool = Tr
     kept = kept.withColumn("__text", text_or_empty())
     if not keep_text:
         kept = kept.drop("text")
-    parts = _patterns(items, size)
+    parts = [(uuid.uuid4().hex, spark.sparkContext.broadcast(p)) for p in _patterns(items, size)]
     if len(parts) > 1:
         kept = durable(kept.withColumn("__row", F.monotonically_increasing_id()))
     with_text = kept.select(*[F.col(f"`{c}`") for c in kept.columns if c != "__text"], "__text")
     kept = kept.drop("__text")
     schema = type(kept.schema)(list(kept.schema) + made)
-    passes = [with_text.mapInArrow(_worker(spark.sparkContext.broadcast(p), len(kept.columns), to_arrow_schema(schema), spans), schema) for p in parts]
+    passes = [with_text.mapInArrow(_worker(key, p, len(kept.columns), to_arrow_schema(schema), spans), schema) for key, p in parts]
     if len(parts) == 1:
         return passes[0]
     found = passes[0].select("__row", "n_words", "hits", "spans", "items")
@@ -171,10 +184,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     return found.where(F.size("items") == 0).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def covered(ranges: Column) -> Column:
+    """Words in sorted ranges [lo, hi), which may overlap."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))
+
+    def step(state: Column, r: Column) -> Column:
+        new = F.greatest(F.lit(0), r["hi"] - F.greatest(r["lo"], state["upto"]))
+        return F.struct((state["n"] + new).cast("long").alias("n"), F.greatest(state["upto"], r["hi"]).alias("upto"))
+
+    return F.aggregate(ranges, start, step)["n"]
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = scan(docs, table(spark, sf_dir, "benchmark"), spans=False, keep_text=False)
-    n_hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda r: F.sequence(r["lo"], r["hi"] - 1))))).cast("long")
+    n_hit = covered(F.col("hits"))
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),

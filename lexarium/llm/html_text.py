@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import durable, table
+from lexarium.llm._shared import durable, spread, table
 
 SALTS = 16
 MAX_BROADCAST_ROWS = 50_000
@@ -381,4 +381,4 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import durable, table, text_or_empty
+from lexarium.llm._shared import durable, spread, table, text_or_empty
 
 LINE_WORDS = 10
 BLOCK_WORDS = 50
@@ -205,7 +205,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.when(F.col("__gone").isNull(), text_or_empty()).otherwise(_kept())
     return aligned(docs).select(
         "doc_id", F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_deleted"),

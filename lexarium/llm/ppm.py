@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import crc_bucket, durable, table, text_or_empty
+from lexarium.llm._shared import crc_bucket, durable, spread, table, text_or_empty
 
 ORDER = 5
 END = 256
@@ -421,5 +421,5 @@ def score(docs: DataFrame, held_out: Column, shard: int = SHARD) -> DataFrame:
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return score(docs, F.coalesce(crc_bucket(F.col("doc_id"), 10) == 0, F.lit(False)))

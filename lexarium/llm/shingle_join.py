@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexarium.llm._shared import components, durable, table, text_or_empty
+from lexarium.llm._shared import components, durable, spread, table, text_or_empty
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -440,7 +440,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_documents(table(spark, sf_dir, "documents"))
+    return linked_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 #: DuckDB: every pair that shares a shingle, counted exactly, and the components of the links.

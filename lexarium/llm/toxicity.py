@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import crc_bucket, table, text_or_empty
+from lexarium.llm._shared import crc_bucket, spread, table, text_or_empty
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -318,6 +318,6 @@ def learning_rows(doc_id: Column) -> Column:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"), learning_rows(F.col("doc_id")))
-    return score(docs, model, keep_text=False).select(
+    return score(spread(docs), model, keep_text=False).select(
         "doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
