@@ -19,13 +19,9 @@ def casefolded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-#: Characters beyond those that NFKC and case folding change no further than ``lower`` and the sharp s do.
-UNUSUAL = r"[^\x00-\x9f¡-§©«-®°±¶·»¿-ÿŒœ–—‘-„†-•€㐀-鿿]"
-
-
 def folded(text: Column) -> Column:
-    """``casefolded``, but only texts with unusual characters go to Python."""
-    return F.coalesce(casefolded(F.when(text.rlike(UNUSUAL), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """``casefolded``, but texts of ASCII characters alone do not go to Python."""
+    return F.coalesce(casefolded(F.when(F.length(text) != F.octet_length(text), text)), F.lower(text))
 
 
 def index_terms(text: Column) -> Column:
