@@ -42,3 +42,26 @@ def test_stages_take_effect(spark, make_prose, tmp_path):
         if name.startswith("benchmark"):
             assert 1 not in ids
     assert now.count() == p.run(spark, str(tmp_path)).count() > 80
+
+
+def test_odd_rows_and_an_empty_table(spark, make_prose, odd_texts, tmp_path):
+    rng = random.Random(3)
+    long = " ".join(make_prose(rng, 40) for _ in range(500))
+    same = make_prose(rng, 30)
+    rows = [(i, t) for i, t in enumerate([*odd_texts, long])] + [(900, same), (900, same), (901, same), (None, make_prose(rng, 30))]
+    docs = spark.createDataFrame([(i, t, "de", None, None, "mine", 0.5, "other") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __gone string, score double, __doc string")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given in (docs, docs.limit(0)):
+        now = given
+        for k, (name, stage) in enumerate(p.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            assert k == len(p.STAGES) - 1 or out.columns == docs.columns, name
+            folder = f"{tmp_path}/{name}-{given is docs}"
+            out.write.parquet(folder)
+            now = spark.read.parquet(folder)
+        ids = [r["doc_id"] for r in now.collect()]
+        if given is docs:
+            assert ids.count(900) == 1 and 901 not in ids and None in ids and len(odd_texts) in ids
+        else:
+            assert ids == []
