@@ -27,12 +27,25 @@ def test_facets(spark):
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "red red blue"), (2, "blue"), (3, "green"), (4, None)], "doc_id long, text string").na.fill("")
     asked = spark.createDataFrame([(0, "red RED nothing")], "q long, text string")
-    got = retrieval.bm25(retrieval.postings(docs, "doc_id", "text"), retrieval.lengths(docs, "doc_id", "text"), retrieval.query_terms(asked, "q", "text"), "doc_id", "q").collect()
+    terms = retrieval.query_terms(asked, "q", "text")
+    got = retrieval.bm25(retrieval.hits(docs, ["doc_id"], "text", terms), terms, "doc_id", "q").collect()
     idf, avg = math.log(1 + (4 - 1 + 0.5) / 1.5), 5 / 4
     assert [(r["doc_id"], r["n_terms"]) for r in got] == [(1, 1)]
     assert abs(got[0]["score"] - idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / avg))) < 1e-9
 
 
+def test_hits_are_the_same_joined_or_filtered(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Straße red 模型训练"), (2, "STRASSE ｒｅｄ red blue"), (3, None), (4, "x")], "doc_id long, text string")
+    terms = retrieval.query_terms(spark.createDataFrame([(0, "strasse red 模型")], "q long, text string"), "q", "text")
+    want = {1: (5, ["red", "strasse", "模型"]), 2: (4, ["red", "red", "strasse"]), 4: (1, [])}
+    for most in (20_000, 1):
+        monkeypatch.setattr(retrieval, "LITERAL_TERMS", most)
+        got = {r["doc_id"]: (r["len"], sorted(r["hits"] or [])) for r in retrieval.hits(docs, ["doc_id"], "text", terms).collect()}
+        assert {k: v for k, v in got.items() if k != 3} == want and got[3][1] == []
+    stats = {r["term"]: (r["df"], r["cf"]) for r in retrieval.term_statistics(docs, "doc_id", "text").collect()}
+    assert stats["red"] == (2, 3) and stats["strasse"] == (2, 2)
+
+
 def test_fusion_and_ties(spark):
     rows = [(0, 0, "a", 1), (0, 0, "b", 2), (0, 1, "b", 1), (0, 1, "a", 2), (0, 1, "a", 5)]
     df = spark.createDataFrame(rows, "q long, list_id int, k string, rank int")
