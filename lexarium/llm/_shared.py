@@ -56,6 +56,10 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+#: Labels (two numbers each) that are broadcast, so that a round shuffles its least labels alone; more are joined by shuffles.
+BROADCAST_LABELS = 200_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``; root is the least node.
 
@@ -66,14 +70,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    few = labels.count() <= BROADCAST_LABELS
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     for _ in range(rounds):
         near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            both.join(side(labels.withColumnRenamed("node", "b")), "b")
             .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         )
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
+        step = near.join(side(labels), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        moved = durable(step.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("root")))
+        moved = durable(step.join(side(jump), "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("root")))
         labels = moved.select("node", "root")
         if moved.where("root <> was").limit(1).count() == 0:
             return labels
