@@ -58,6 +58,13 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 #: Labels (two numbers each) that are broadcast, so that a round shuffles its least labels alone; more are joined by shuffles.
 BROADCAST_LABELS = 200_000
+#: Rows of a few numbers that make a partition of their own.
+PARTITION_ROWS = 50_000
+
+
+def packed(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` (``count`` of them, narrow ones) in no more partitions than that count needs: a shuffle of few rows writes few files."""
+    return rows.coalesce(count // PARTITION_ROWS + 1)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -69,8 +76,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     reaches the driver.
     """
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
-    few = labels.count() <= BROADCAST_LABELS
+    both = packed(both, both.count())
+    labels = durable(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    count = labels.count()
+    few = count <= BROADCAST_LABELS
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
@@ -82,7 +91,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         step = near.join(side(labels), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        moved = durable(step.join(side(jump), "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("root")))
+        moved = durable(packed(step.join(side(jump), "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("root")), count))
         labels = moved.select("node", "root")
         if moved.where("root <> was").limit(1).count() == 0:
             return labels
