@@ -114,12 +114,12 @@ def x16_evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.withColumn("place", F.row_number().over(w)).where("place <= 3").groupBy("l_orderkey").agg(F.count("*").alias("selected"), F.count_if(F.col("l_linestatus") == "F").alias("required"))
 
 
-@query("""SELECT DISTINCT b.conv_id, b.turn FROM conversations b WHERE b.turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = b.conv_id AND a.turn < b.turn AND contains(a.text, substr(b.text, 1, 30)))""")
+@query("""SELECT DISTINCT b.conv_id, b.turn FROM conversations b WHERE b.turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = b.conv_id AND a.turn < b.turn AND contains(a.text, b.text))""")
 def x21_new_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns whose beginning no earlier turn of the conversation contains."""
+    """Turns whose whole text no earlier turn of the conversation contains; a turn without text is new."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     b, a = c.where("turn > 0").alias("b"), c.alias("a")
-    seen = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")) & F.contains(F.col("a.text"), F.substring("b.text", 1, 30))
+    seen = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")) & F.contains(F.col("a.text"), F.col("b.text"))
     return b.join(a, seen, "left_anti").select("conv_id", "turn").distinct()
 
 
