@@ -1,6 +1,6 @@
 """All queries of the library's jobs."""
 
-from lexarium.jobs import composed, decisions, evaluation, evidence, graphs, lifecycle, logs, retrieval, rules, selection, streams  # noqa: F401  (each module registers its queries)
+from lexarium.jobs import composed, decisions, evaluation, evidence, graphs, lifecycle, logs, retrieval, rules, selection, streams, support  # noqa: F401  (each module registers its queries)
 from lexarium.jobs.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
