@@ -124,7 +124,7 @@ def f09_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT p_partkey, regexp_extract(p_brand, '(\d)\d$', 1) || '.' || regexp_extract(p_brand, '(\d)$', 1) AS version, CASE WHEN p_size % 3 = 0 THEN (p_size % 5 + 1) || '.x' END AS family FROM part),
-w AS (SELECT unnest(['v1.2', '3.4', NULL]) AS wanted)
+w AS (SELECT unnest(['v1.2', '2.4', NULL]) AS wanted)
 SELECT coalesce(wanted, 'any') AS wanted, count(*) AS parts, count(family) AS examples FROM p JOIN w ON CASE WHEN family IS NOT NULL THEN wanted IS NOT NULL AND version = ltrim(wanted, 'v') AND split_part(ltrim(wanted, 'v'), '.', 1) = split_part(family, '.', 1)
  ELSE wanted IS NULL OR version = ltrim(wanted, 'v') END GROUP BY ALL""")
 def f20_version_applies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def f20_version_applies(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(F.col("family").isNull(), same).otherwise(same & (F.split_part("family", F.lit("."), F.lit(1)) == bare.split(".")[0]))
 
     rows = table(spark, sf_dir, "part").select(version.alias("version"), family.alias("family"))
-    wanted = F.array_compact(F.array(*[F.when(applies(w), w or "any") for w in ("v1.2", "3.4", None)]))
+    wanted = F.array_compact(F.array(*[F.when(applies(w), w or "any") for w in ("v1.2", "2.4", None)]))
     return rows.select("family", F.explode(wanted).alias("wanted")).groupBy("wanted").agg(F.count("*").alias("parts"), F.count("family").alias("examples"))
 
 
