@@ -15,9 +15,10 @@ from lexarium.llm.sharding import op10_sharding
 from lexarium.llm.shingle_join import ORACLE as SHINGLE_JOIN_SQL
 from lexarium.llm.shingle_join import op3_shingle_join
 from lexarium.llm.toxicity import op1_toxicity
+from lexarium.llm.whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_licenses, op3_shingle_join, op4_byte_bpe, op5_decontamination, op6_ppm, op7_line_dedup, op8_html_text, op9_fingerprints, op10_sharding)
+    for f in (op1_toxicity, op2_licenses, op3_shingle_join, op4_byte_bpe, op5_decontamination, op6_ppm, op7_line_dedup, op8_html_text, op9_fingerprints, op10_sharding, op13_whitening)
 }
 ORACLE_SQL = {"op2_licenses": licenses_sql(), "op3_shingle_join": SHINGLE_JOIN_SQL, "op5_decontamination": DECONTAMINATION_SQL}
