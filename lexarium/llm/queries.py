@@ -6,6 +6,8 @@ from lexarium.llm.byte_bpe import op4_byte_bpe
 from lexarium.llm.decontamination import ORACLE as DECONTAMINATION_SQL
 from lexarium.llm.decontamination import op5_decontamination
 from lexarium.llm.fingerprints import op9_fingerprints
+from lexarium.llm.hard_negatives import ORACLE as HARD_NEGATIVES_SQL
+from lexarium.llm.hard_negatives import op12_hard_negatives
 from lexarium.llm.html_text import op8_html_text
 from lexarium.llm.licenses import op2_licenses
 from lexarium.llm.licenses import oracle as licenses_sql
@@ -19,6 +21,6 @@ from lexarium.llm.whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_licenses, op3_shingle_join, op4_byte_bpe, op5_decontamination, op6_ppm, op7_line_dedup, op8_html_text, op9_fingerprints, op10_sharding, op13_whitening)
+    for f in (op1_toxicity, op2_licenses, op3_shingle_join, op4_byte_bpe, op5_decontamination, op6_ppm, op7_line_dedup, op8_html_text, op9_fingerprints, op10_sharding, op12_hard_negatives, op13_whitening)
 }
-ORACLE_SQL = {"op2_licenses": licenses_sql(), "op3_shingle_join": SHINGLE_JOIN_SQL, "op5_decontamination": DECONTAMINATION_SQL}
+ORACLE_SQL = {"op2_licenses": licenses_sql(), "op3_shingle_join": SHINGLE_JOIN_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
