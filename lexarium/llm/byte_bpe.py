@@ -8,6 +8,7 @@ encoded by that model; ids decode by the inverse byte map.
 Null and empty texts have no tokens and decode to nothing. Repeated rows are
 encoded alike, very long texts whole. Further columns of the input are kept by
 ``encode`` unless they bear an output column's name, which the output replaces.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,12 +156,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, ke
     new = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     new += [StructField("token_ids", ArrayType(IntegerType()))] * ids
     names = {f.name.lower() for f in new}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names], text_or_empty().alias("__text"))
-    if not keep_text:
-        kept = kept.drop("text")
-    schema = StructType([f for f in kept.schema if f.name != "__text"] + new)
+    own = [c for c in docs.columns if c.lower() not in names and (keep_text or c.lower() != "text")]
+    # under names of their own, columns that are called like the operator's stay what they were
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(own)], text_or_empty().alias("__text"))
+    schema = StructType(list(kept.schema)[:-1] + new)
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    return kept.mapInArrow(_worker(tokens, pattern, to_arrow_schema(schema), ids), schema)
+    encoded = kept.mapInArrow(_worker(tokens, pattern, to_arrow_schema(schema), ids), schema)
+    return encoded.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(own)], *[f.name for f in new])
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

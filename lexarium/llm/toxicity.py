@@ -16,7 +16,8 @@ doc_id, of at most ``MAX_CHARS`` characters each. These two bounds are the size
 of what the driver ever holds. Scoring reads every text whole.
 
 Null, empty and wordless texts get the score of no evidence, below the
-threshold. Equal texts get equal scores. With no label of one of the kinds
+threshold. Equal texts get equal scores; ties in the learning order are broken by
+doc_id. An empty table gives no rows. With no label of one of the kinds
 every text scores 0. A label row with nulls is not learnt from; a document with
 several labels counts as toxic if one says so. Further columns do not enter.
 """
@@ -303,12 +304,13 @@ def score(docs: DataFrame, model, column: str = "score", keep_text: bool = True)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()], text_or_empty().alias("__text"))
-    if not keep_text:
-        kept = kept.drop("text")
-    schema = type(kept.schema)([f for f in kept.schema if f.name != "__text"]).add(column, DoubleType())
+    names = [c for c in docs.columns if c.lower() != column.lower() and (keep_text or c.lower() != "text")]
+    # under names of their own, columns that are called like the operator's stay what they were
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], text_or_empty().alias("__text"))
+    schema = type(kept.schema)(list(kept.schema)[:-1]).add("__score", DoubleType())
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return kept.mapInArrow(_score_rows(shared, len(kept.columns) - 1, to_arrow_schema(schema)), schema)
+    scored = kept.mapInArrow(_score_rows(shared, len(names), to_arrow_schema(schema)), schema)
+    return scored.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)], F.col("__score").alias(column))
 
 
 def learning_rows(doc_id: Column) -> Column:

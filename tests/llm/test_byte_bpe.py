@@ -39,3 +39,9 @@ def test_empty_table_and_gapless_ranks(spark, tmp_path):
     except ValueError:
         return
     raise AssertionError("a gap in the ranks must fail")
+
+
+def test_columns_called_like_the_operators_own_stay(spark):
+    docs = spark.createDataFrame([(1, "ab c", "own", 7)], "doc_id long, text string, __text string, __c0 int")
+    (row,) = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert (row["doc_id"], row["text"], row["__text"], row["__c0"]) == (1, "ab c", "own", 7) and row["n_tokens"] == len(plain().encode_ordinary("ab c"))

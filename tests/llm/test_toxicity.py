@@ -64,3 +64,10 @@ def test_long_runs_are_read_whole(make_prose):
     bad = clean[:30] + BAD * 3 + clean[30:]
     assert model.score("_".join(bad)) == model.score(" ".join(bad)) >= t.THRESHOLD > model.score("_".join(clean))
     assert model.score("".join(bad)) >= t.THRESHOLD and model.score("".join(bad)) > model.score("".join(clean))
+
+
+def test_columns_called_like_the_operators_own_stay(spark, make_prose):
+    model = t.fit(*corpus(make_prose, 60, 2))
+    docs = spark.createDataFrame([(1, "ab c", "own", 7, 0.5)], "doc_id long, text string, __text string, __c0 int, __score double")
+    (row,) = t.score(docs, model).collect()
+    assert (row["doc_id"], row["text"], row["__text"], row["__c0"], row["__score"]) == (1, "ab c", "own", 7, 0.5) and row["score"] == model.score("ab c")
