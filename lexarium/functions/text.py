@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 #: Terms are ASCII words, digit runs and runs of Han characters.
 TERM = "([a-z][a-z0-9_.-]*|[0-9]+|[㐀-鿿]+)"
@@ -71,3 +75,29 @@ def facets(query: Column, most: int = 4) -> Column:
 def hex_bucket(text: Column, buckets: int) -> Column:
     """The first four bytes of SHA-256, read as a number, modulo ``buckets``."""
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("long") % buckets
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def _hash_vector(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _bucket_counts("".join(t.split()) if t else ""))
+
+
+def _bucket_counts(bare: str, buckets: int = 512) -> np.ndarray:
+    counts: Counter = Counter()
+    for width in (1, 2, 3):
+        counts.update(bare[i:i + width] for i in range(len(bare) - width + 1))
+    vector = np.zeros(buckets)
+    for gram, n in counts.items():
+        vector[_bucket_of(gram) % buckets] += n
+    norm = np.sqrt(vector @ vector)
+    return (vector / norm if norm else vector).astype(np.float32)
+
+
+@lru_cache(maxsize=200_000)
+def _bucket_of(gram: str) -> int:
+    return int.from_bytes(hashlib.sha256(gram.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+
+
+def hash_vector(text: Column) -> Column:
+    """Unit vector of 512 buckets of the text's runs of one to three characters, folded and without white space; of zeros if there are none."""
+    return _hash_vector(folded(text))

@@ -20,7 +20,7 @@ f AS (SELECT item_id, doc_id, sum(1.0 / (60 + rank)) AS s FROM l GROUP BY ALL)
 SELECT item_id, doc_id, rank, round(s, 6) AS rrf_score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
 def x03_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and dense rankings of 50 each, fused; vec_id stands for doc_id and item_id."""
-    bm = r.top_k(_bm25(spark, sf_dir), "item_id", 50, *r.best_first("doc_id")).select("item_id", F.lit(0).alias("list_id"), "doc_id", "rank")
+    bm = _bm25(spark, sf_dir, 50).select("item_id", F.lit(0).alias("list_id"), "doc_id", "rank")
     vectors = table(spark, sf_dir, "embeddings")
     asked = table(spark, sf_dir, "benchmark").select("item_id").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("q"))
     dense = r.dense_search(vectors, asked, 50).select(F.col("qid").alias("item_id"), F.lit(1).alias("list_id"), F.col("vec_id").alias("doc_id"), "rank")
@@ -33,7 +33,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY item_id, role ORDER BY rank) AS
 SELECT item_id, doc_id, role, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN seat = 1 THEN 0 ELSE 1 END, rank) AS place FROM s) WHERE place <= 6""")
 def r05_role_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hit of each role (language) sits first, the rest by rank."""
-    best = r.top_k(_bm25(spark, sf_dir), "item_id", 30, *r.best_first("doc_id")).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("role")), "doc_id")
+    best = _bm25(spark, sf_dir, 30, carry={"role": F.col("lang")})
     seat = F.row_number().over(Window.partitionBy("item_id", "role").orderBy("rank"))
     placed = best.withColumn("seat", seat).withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.when(F.col("seat") == 1, 0).otherwise(1), "rank")))
     return placed.where("place <= 6").select("item_id", "doc_id", "role", F.col("place").cast("long").alias("place"))

@@ -93,13 +93,14 @@ def u02_gap_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).groupBy("user_id", "event_type").agg(F.count_if(F.col("k") == 1).alias("gaps"), F.count_if(F.col("k") > 1).alias("dropped"))
 
 
-@query("""WITH a AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER BY o_orderkey) AS k, o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' AS good FROM orders)
+@query("""WITH g AS (SELECT o_custkey, o_orderkey, coalesce(o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW', false) AS good FROM orders),
+a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7, good ORDER BY o_orderkey) AS k FROM g)
 SELECT o_custkey, count(*) FILTER (good AND k = 1) AS kept, count(*) FILTER (NOT good) AS rejected, CASE WHEN count(*) FILTER (good AND k = 1) = 0 THEN 'ABSTAINED' WHEN count(*) FILTER (NOT good) > 0 THEN 'NO_SUMMARY' ELSE 'OK' END AS status FROM a GROUP BY o_custkey""")
 def u05_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Advice rows kept, rejected (counted) or repeated (not counted); any rejected row removes the summary."""
-    w = Window.partitionBy("o_custkey", F.col("o_orderkey") % 7).orderBy("o_orderkey")
-    good = (F.col("o_orderstatus") != "P") & (F.col("o_orderpriority") != "5-LOW")
-    a = table(spark, sf_dir, "orders").select("o_custkey", F.row_number().over(w).alias("k"), good.alias("good"))
+    """Advice rows kept, rejected (counted) or repeated (not counted; only a good row makes later ones repeats); any rejected row removes the summary."""
+    good = F.coalesce((F.col("o_orderstatus") != "P") & (F.col("o_orderpriority") != "5-LOW"), F.lit(False))
+    w = Window.partitionBy("o_custkey", F.col("o_orderkey") % 7, "good").orderBy("o_orderkey")
+    a = table(spark, sf_dir, "orders").withColumn("good", good).select("o_custkey", F.row_number().over(w).alias("k"), "good")
     s = a.groupBy("o_custkey").agg(F.count_if(F.col("good") & (F.col("k") == 1)).alias("kept"), F.count_if(~F.col("good")).alias("rejected"))
     return s.select("*", F.when(F.col("kept") == 0, "ABSTAINED").when(F.col("rejected") > 0, "NO_SUMMARY").otherwise("OK").alias("status"))
 

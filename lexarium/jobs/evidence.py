@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from lexarium.functions.text import latin_terms
 from lexarium.jobs.registry import query
+from lexarium.operators.containment import holders
 from lexarium.operators.lifecycle import first_per
 from lexarium.operators.retrieval import small
-from lexarium.sources.tables import CHUNKS_SQL, chunks, table
+from lexarium.sources.tables import CHUNKS_SQL, chunks, spread, table
 
 TERMS_SQL = "regexp_extract_all(lower({}), '[a-z][a-z0-9_.-]*|[0-9]+')"
 
@@ -209,12 +210,9 @@ def a03_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH h AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))
 SELECT item_id, count(doc_id) AS holders, coalesce(count(doc_id) > 0, false) AS answerable FROM benchmark LEFT JOIN h USING (item_id) GROUP BY item_id""")
 def a10_answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which items have a document that holds their whole text: one rare term of each item finds the candidates."""
+    """Which items have a document that holds their whole text, wherever its words begin and end."""
     items = table(spark, sf_dir, "benchmark")
-    key = F.array_max(F.transform(latin_terms(F.lower("text")), lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
-    asked = items.select("item_id", F.col("text").alias("want"), key.alias("term"))
-    have = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(latin_terms(F.lower("text")))).alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
-    found = have.join(small(asked), "term").where(F.contains("text", "want")).groupBy("item_id").agg(F.count("*").alias("holders"))
+    found = holders(spread(table(spark, sf_dir, "documents").select("text")), "text", items, "item_id", "text")
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("holders", F.lit(0)).alias("holders"), (F.coalesce("holders", F.lit(0)) > 0).alias("answerable"))
 
 

@@ -121,18 +121,18 @@ def f16_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", best["cat"].alias("change_type")).where("change_type is not null")
 
 
-@query("WITH " + CHUNKS_SQL + """, a AS (SELECT doc_id, n, content, source, lang FROM chunks WHERE length(content) >= 20)
-SELECT x.lang, count(*) AS pairs, sum(x.n) AS s FROM a x JOIN a y ON x.lang = y.lang AND x.source = y.source AND x.n = y.n AND substr(x.content, 1, 12) = substr(y.content, 1, 12) AND x.doc_id < y.doc_id AND x.content <> y.content GROUP BY x.lang""")
+@query("WITH " + CHUNKS_SQL + """
+SELECT x.lang, count(*) AS pairs, sum(x.n) AS s FROM chunks x JOIN chunks y ON x.lang = y.lang AND x.source = y.source AND x.n = y.n AND x.doc_id < y.doc_id AND x.content <> y.content GROUP BY x.lang""")
 def j14_consistency_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of lines at one place of one source with the same beginning and different text.
+    """Pairs of sections (lines) under one heading, the line's number, in different documents of one source whose texts differ.
 
     No pair is made: twice the pairs of a place are N^2 less those of one document,
     less those of one text, plus those of both (counts squared, summed over each).
     Texts are told apart by their SHA-256, which is what is shuffled.
     """
-    rows = chunks(table(spark, sf_dir, "documents")).where("length(content) >= 20 and doc_id is not null and lang is not null and source is not null")
-    place = ["lang", "source", "n", "head"]
-    counts = rows.select("doc_id", "n", "source", "lang", F.substring("content", 1, 12).alias("head"), F.unhex(F.sha2("content", 256)).alias("text")).groupBy(*place, "text", "doc_id").agg(F.count("*").alias("c"))
+    rows = chunks(table(spark, sf_dir, "documents")).where("doc_id is not null and lang is not null and source is not null")
+    place = ["lang", "source", "n"]
+    counts = rows.select("doc_id", "n", "source", "lang", F.unhex(F.sha2("content", 256)).alias("text")).groupBy(*place, "text", "doc_id").agg(F.count("*").alias("c"))
     sets = [place, [*place, "doc_id"], [*place, "text"]]
     both = F.sum(F.col("c").cast("decimal(14,0)") * F.col("c").cast("decimal(14,0)"))
     sums = counts.groupingSets(sets, *place, "text", "doc_id").agg(F.sum("c").cast("decimal(18,0)").alias("c"), both.alias("both"), (F.grouping("text") + F.grouping("doc_id")).alias("wide"))

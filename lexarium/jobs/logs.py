@@ -76,10 +76,11 @@ def q10_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.unionByName(new.join(there, ["user_id", "event_type"], "left_anti"))
 
 
-@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(round(value, 4), (ts, event_id)) AS payload FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(round(value, 4), (ts, event_id)) AS payload FROM events GROUP BY ALL")
 def q11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep the last payload by key."""
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by(F.round("value", 4), F.struct("ts", "event_id")).alias("payload"))
+    """Keep the last event by key: its id and its payload."""
+    last = F.max_by(F.struct("event_id", F.round("value", 4).alias("payload")), F.struct("ts", "event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(last.alias("last")).select("user_id", "event_type", "last.event_id", "last.payload")
 
 
 @query("""WITH s AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexarium.functions.text import facets, folded, hex_bucket, readable, search_terms
+from lexarium.functions.text import facets, folded, hex_bucket, index_terms, readable, search_terms
 from lexarium.jobs.registry import query
 from lexarium.operators import retrieval as r
+from lexarium.operators.scoring import Field, Formula, best_rows
 from lexarium.sources.tables import CHUNKS_SQL, chunks, spread, table
 
 TERM_SQL = "'[a-z][a-z0-9_.-]*|[0-9]+'"
@@ -27,9 +28,13 @@ def _corpus(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     return spread(table(spark, sf_dir, "documents").where(where).select("doc_id", "text"))
 
 
-def _bm25(spark: SparkSession, sf_dir: str, where: str = "true", **how) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, k: int, where: str = "true", carry: dict | None = None, formula: Formula | None = None, least_terms: int = 1) -> DataFrame:
+    """The first ``k`` documents of each item, with their rank and the columns of ``carry``: no document leaves its task that isn't among its first k."""
     terms = r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return r.bm25(r.hits(_corpus(spark, sf_dir, where), ["doc_id"], "text", terms), terms, "doc_id", "item_id", **how)
+    carry = carry or {}
+    corpus = spread(table(spark, sf_dir, "documents").where(where).select("doc_id", "text", *[c.alias(n) for n, c in carry.items()]))
+    found = best_rows(r.hits(corpus, ["doc_id", *carry], "text", terms), terms, "doc_id", "item_id", k, formula, carry=list(carry), least_terms=least_terms)
+    return r.top_k(found, "item_id", k, *r.best_first("doc_id"))
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), {TERM_SQL})) AS term FROM documents) GROUP BY ALL")
@@ -71,7 +76,7 @@ def a01_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + BM25_SQL + " SELECT item_id, doc_id, rank, round(score, 5) AS score FROM bm WHERE rank <= 5")
 def r01_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = r.top_k(_bm25(spark, sf_dir), "item_id", 5, *r.best_first("doc_id"))
+    best = _bm25(spark, sf_dir, 5)
     return best.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
@@ -86,13 +91,10 @@ SELECT item_id, doc_id, rank, round(score, 5) AS score FROM (SELECT *, row_numbe
 def r02_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line at weight 4 and whole text at weight 1, each with its own lengths; document frequencies shared."""
     terms = r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    fields = F.array(F.struct(F.lit(4.0).alias("weight"), F.substring_index("text", "\n", 1).alias("body")), F.struct(F.lit(1.0).alias("weight"), F.col("text").alias("body")))
-    keys = ["doc_id", "weight"]
-    found = r.hits(_corpus(spark, sf_dir).select("doc_id", F.inline(fields)), keys, "body", terms)
-    means = found.groupBy("weight").agg(F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"), F.count("*").alias("n"))
-    tf = r.frequencies(found, keys)
-    wanted = terms.join(tf.where("weight = 1").groupBy("term").agg(F.count("*").alias("df")), "term")
-    both = tf.join(wanted, "term").join(F.broadcast(means), "weight").groupBy("item_id", "doc_id").agg(F.sum(F.col("weight") * r.bm25_part()).alias("score"))
+    corpus = _corpus(spark, sf_dir)
+    headed = corpus.select("doc_id", "text", index_terms(folded(F.substring_index("text", "\n", 1))).alias("head")).withColumn("head_len", F.size("head").cast("long"))
+    found = r.hits(headed, ["doc_id", "head", "head_len"], "text", terms)
+    both = best_rows(found, terms, "doc_id", "item_id", 5, fields=[Field(), Field("head", "head_len", 4.0)])
     return r.top_k(both, "item_id", 5, *r.best_first("doc_id")).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
@@ -101,7 +103,7 @@ s AS (SELECT item_id, doc_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
       FROM post JOIN qt USING (term) JOIN df USING (term) JOIN lens USING (doc_id), stats GROUP BY ALL)
 SELECT item_id, doc_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def r03_bm25_query_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = r.top_k(_bm25(spark, sf_dir, k=1.5, numerator=2.5, multiplicity=True), "item_id", 5, *r.best_first("doc_id"))
+    best = _bm25(spark, sf_dir, 5, formula=Formula(k=1.5, numerator=2.5, multiplicity=True))
     return best.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
@@ -111,8 +113,7 @@ s AS (SELECT item_id, doc_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 SELECT item_id, doc_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def r04_bm25_scoped_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics over the scoped rows alone, and at least two matching terms."""
-    scored = _bm25(spark, sf_dir, "lang = 'en'", k=1.5, numerator=2.5, multiplicity=True)
-    best = r.top_k(scored.where("n_terms >= 2"), "item_id", 3, *r.best_first("doc_id"))
+    best = _bm25(spark, sf_dir, 3, "lang = 'en'", formula=Formula(k=1.5, numerator=2.5, multiplicity=True), least_terms=2)
     return best.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
@@ -170,10 +171,10 @@ SELECT item_id, doc_id, count(*) AS matched, round(count(*) / any_value(n), 6) A
 FROM w JOIN p USING (term) JOIN (SELECT item_id, len(ts) AS n FROM q) USING (item_id) GROUP BY item_id, doc_id HAVING count(*) / any_value(n) >= 0.45""")
 def r17_query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a query's distinct terms that a document has, and what that says of its support; those of at least .45."""
-    items = r.with_terms(table(spark, sf_dir, "benchmark"), ["item_id"], "text").select("item_id", F.array_distinct("terms").alias("ts"))
-    wanted = items.select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
+    wanted = r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     found = r.hits(_corpus(spark, sf_dir), ["doc_id"], "text", wanted)
-    met = found.select("doc_id", F.explode(F.array_distinct("hits")).alias("term")).join(r.small(wanted), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("matched"), F.first("n").alias("n"))
+    met = best_rows(found, wanted, "doc_id", "item_id", None, Formula(counts=True), least_share=0.45).withColumnRenamed("n_terms", "matched")
+    met = met.join(r.small(wanted.groupBy("item_id").agg(F.count("*").alias("n"))), "item_id")
     ratio = F.col("matched") / F.col("n")
     return met.where(ratio >= 0.45).select("item_id", "doc_id", "matched", F.round(ratio, 6).alias("ratio"), F.when(ratio >= 0.8, "strong").when(ratio >= 0.45, "partial").otherwise("limited").alias("support"))
 
@@ -190,9 +191,10 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of each item: BM25 (list 0) and shared term counts (list 1), 50 rows each."""
     terms = r.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     found = r.hits(_corpus(spark, sf_dir), ["doc_id"], "text", terms)
-    bm = r.top_k(r.bm25(found, terms, "doc_id", "item_id"), "item_id", 50, *r.best_first("doc_id"))
-    counts = r.frequencies(found, ["doc_id"]).join(r.small(terms), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("score"))
-    by_count = r.top_k(counts, "item_id", 50, F.desc("score"), F.asc("doc_id"))
+    bm, by_count = (
+        r.top_k(best_rows(found, terms, "doc_id", "item_id", 50, formula), "item_id", 50, *r.best_first("doc_id"))
+        for formula in (Formula(), Formula(counts=True, multiplicity=True))
+    )
     return bm.select("item_id", F.lit(0).alias("list_id"), "doc_id", "rank").union(by_count.select("item_id", F.lit(1).alias("list_id"), "doc_id", "rank"))
 
 
@@ -216,8 +218,7 @@ def x02_rrf_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT *, CASE WHEN rank <= 2 THEN 0 WHEN row_number() OVER (PARTITION BY item_id, source ORDER BY rank) = 1 THEN 1 ELSE 2 END AS kind FROM t)
 SELECT item_id, doc_id, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY kind, rank) AS new_rank FROM k) WHERE new_rank <= 10""")
 def x04_source_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = r.top_k(_bm25(spark, sf_dir), "item_id", 40, *r.best_first("doc_id"))
-    sourced = best.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    sourced = _bm25(spark, sf_dir, 40, carry={"source": F.col("source")})
     return r.one_per_source(sourced, "item_id", "source", 2).where("new_rank <= 10").select("item_id", "doc_id", F.col("new_rank").cast("long").alias("new_rank"))
 
 
@@ -239,8 +240,7 @@ w AS (SELECT *, least(1200, chars) - base AS want FROM b),
 l AS (SELECT *, 4000 - sum(base) OVER (PARTITION BY item_id) - coalesce(sum(want) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM w)
 SELECT item_id, doc_id, CAST(base + greatest(0, least(want, rest)) AS BIGINT) AS budget FROM l""")
 def x07_excerpt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = r.top_k(_bm25(spark, sf_dir), "item_id", 8, *r.best_first("doc_id"))
-    rows = best.join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars")), "doc_id")
+    rows = _bm25(spark, sf_dir, 8, carry={"chars": F.length("text")})
     return r.excerpt_budgets(rows, "item_id", "chars", 1200, 4000).select("item_id", "doc_id", "budget")
 
 
@@ -249,7 +249,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS seat F
 p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN seat = 1 THEN 0 ELSE 1 END, CASE WHEN seat = 1 THEN item_id END NULLS FIRST, rank, doc_id) AS place FROM s WHERE seat <= 60)
 SELECT item_id, doc_id, place FROM p WHERE place <= 60""")
 def x08_coverage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    searches = r.top_k(_bm25(spark, sf_dir), "item_id", 20, *r.best_first("doc_id"))
+    searches = _bm25(spark, sf_dir, 20)
     return r.coverage_order(searches, "doc_id", "item_id", 60).select("item_id", "doc_id", F.col("place").cast("long").alias("place"))
 
 
