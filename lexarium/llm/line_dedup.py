@@ -1,19 +1,19 @@
-"""Line dedup by pairwise alignment: documents that share rare lines are aligned by patience diff.
+"""Line dedup by pairwise alignment: documents that share a rare line or a run of lines are aligned by patience diff.
 
 Lines are compared after lower-casing and with white space collapsed; blank
-lines take no part. Anchors are what tells documents apart: lines of at least
-``LINE_WORDS`` words, and runs, the shortest stretches of at least
-``BLOCK_WORDS`` words from each line on and up to each line. An anchor that
-several documents hold makes a pair of its first holder (least doc_id) with each
-later one, so an anchor held by n documents makes n - 1 pairs, not n squared.
+lines take no part. Runs are the shortest stretches of at least ``BLOCK_WORDS``
+words from each line on and up to each line; a line of so many words is a run
+of its own, shorter ones are too common alone. A run that several documents hold makes a pair of
+its first holder (least doc_id) with each later one, so a run held by n
+documents makes n - 1 pairs, not n squared.
 
 Each pair is aligned by patience diff: lines that occur once on both sides, in
 the longest chain that keeps their order, grown over equal neighbours; between
-them the same again. Aligned blocks of at least ``LINE_WORDS`` words are deleted
-from the later document. What was moved is not aligned; of it only common blocks
-of at least ``BLOCK_WORDS`` words go. Each line of a common block of that size
-lies in a run within the block, and the run's first holder has the block's part
-of it, so every line of such a block that any earlier document has goes.
+them the same again. Aligned blocks of at least ``BLOCK_WORDS`` words are deleted
+from the later document, and so are blocks of that size that were moved, which
+alignment leaves. Each line of a common block lies in a run within the block,
+and that run's first holder makes a pair, so every line of a block that any
+earlier document holds goes, whichever other documents there are.
 
 Within one document nothing is deleted for repeating itself. A null text is an
 empty one; an empty table gives an empty one; very long texts are read whole,
@@ -38,8 +38,7 @@ from pyspark.sql import functions as F
 
 from lexarium.llm._shared import durable, spread, table, text_or_empty
 
-LINE_WORDS = 10
-BLOCK_WORDS = 50
+BLOCK_WORDS = 10
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -70,9 +69,9 @@ def runs_of(hashes: list[int], sizes: list[int], least: int = BLOCK_WORDS) -> li
     return [(xxhash.xxh3_64_intdigest(packed[i:j].tobytes()) >> 1, i, j) for i, j in sorted(bounds)]
 
 
-def anchors_of(hashes: list[int], sizes: list[int], line: int = LINE_WORDS, block: int = BLOCK_WORDS) -> list[int]:
-    """Hashes of the runs and long lines by which a document is paired."""
-    return sorted({h for h, n in zip(hashes, sizes) if n >= line} | {key for key, _, _ in runs_of(hashes, sizes, block)})
+def anchors_of(hashes: list[int], sizes: list[int], block: int = BLOCK_WORDS) -> list[int]:
+    """Hashes of the runs by which a document is paired."""
+    return sorted({key for key, _, _ in runs_of(hashes, sizes, block)})
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,15 +118,15 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(early: tuple[list[int], list[int]], late: tuple[list[int], list[int]], line: int = LINE_WORDS, block: int = BLOCK_WORDS) -> list[int]:
-    """Places in ``late`` that go: aligned blocks of at least ``line`` words, moved ones of at least ``block``. Each side: hashes, sizes."""
+def common_lines(early: tuple[list[int], list[int]], late: tuple[list[int], list[int]], block: int = BLOCK_WORDS) -> list[int]:
+    """Places in ``late`` that go: aligned and moved blocks of at least ``block`` words. Each side: hashes, sizes."""
     hashes, sizes = late
     gone: set[int] = set()
     own: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(early[0], hashes), (-9, -9)]:
         if (i - 1, j - 1) != last:
-            if sum(sizes[k] for k in own) >= line:
+            if sum(sizes[k] for k in own) >= block:
                 gone.update(own)
             own = []
         own.append(j)
@@ -212,3 +211,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.coalesce("__gone", F.array().cast("array<int>")), ",").alias("deleted_lines"),
         F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+#: DuckDB: lines of runs of ten words that an earlier document holds too.
+ORACLE = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, trim(regexp_replace(lower(ls[i]), '\\s+', ' ', 'g')) AS s FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
+n AS (SELECT doc_id, pos, s, len(string_split(s, ' ')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM l WHERE s <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM n),
+m AS (SELECT a.doc_id, a.p AS lo, b.p AS hi FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.upto - a.upto + a.w >= 10),
+r AS (SELECT doc_id, lo, min(hi) AS hi FROM m GROUP BY doc_id, lo UNION SELECT doc_id, max(lo), hi FROM m GROUP BY doc_id, hi),
+k AS (SELECT r.doc_id, lo, hi, md5(string_agg(c.s, chr(10) ORDER BY c.p)) AS key FROM r JOIN c ON c.doc_id = r.doc_id AND c.p BETWEEN lo AND hi GROUP BY ALL),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+g AS (SELECT DISTINCT c.doc_id, c.pos FROM k JOIN f USING (key) JOIN c ON c.doc_id = k.doc_id AND c.p BETWEEN k.lo AND k.hi WHERE f.first < k.doc_id),
+o AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS gone FROM g GROUP BY doc_id),
+t AS (SELECT d.doc_id, coalesce(string_agg(ls[i], chr(10) ORDER BY i), '') AS kept FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d) d
+      LEFT JOIN g ON g.doc_id = d.doc_id AND g.pos = i - 1 WHERE g.pos IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted, coalesce(gone, '') AS deleted_lines,
+       CAST(length(coalesce(kept, '')) AS BIGINT) AS n_chars_kept, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -12,6 +12,7 @@ from lexarium.llm.html_text import op8_html_text
 from lexarium.llm.language_id import op11_language_id
 from lexarium.llm.licenses import op2_licenses
 from lexarium.llm.licenses import oracle as licenses_sql
+from lexarium.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from lexarium.llm.line_dedup import op7_line_dedup
 from lexarium.llm.ppm import op6_ppm
 from lexarium.llm.sharding import op10_sharding
@@ -24,4 +25,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_licenses, op3_shingle_join, op4_byte_bpe, op5_decontamination, op6_ppm, op7_line_dedup, op8_html_text, op9_fingerprints, op10_sharding, op11_language_id, op12_hard_negatives, op13_whitening)
 }
-ORACLE_SQL = {"op2_licenses": licenses_sql(), "op3_shingle_join": SHINGLE_JOIN_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
+ORACLE_SQL = {"op2_licenses": licenses_sql(), "op3_shingle_join": SHINGLE_JOIN_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}

@@ -40,32 +40,24 @@ def plain_patience(a, b):
 
 
 def brute(docs):
-    """Pairs by the first holder of any line or stretch that counts, aligned plainly; and every common block of enough words."""
+    """Every block of enough words that any earlier document holds, and what plain patience diff aligns with any of them."""
     known = {key: lines_of(text) for key, text in docs}
     out = {}
     for key in known:
         mine = [t for _, t in known[key]]
-        gone, partners = set(), set()
+        gone, sizes = set(), [len(t.split()) for t in mine]
         stretches = {j: tuple(mine[j[0] : j[1]]) for j in blocks(mine, l.BLOCK_WORDS)}
         for other in sorted(k for k in known if k < key):
             theirs = [t for _, t in known[other]]
             for bounds, block in stretches.items():
                 if any(tuple(theirs[i : i + len(block)]) == block for i in range(len(theirs))):
                     gone.update(range(*bounds))
-        for t in mine:
-            if len(t.split()) >= l.LINE_WORDS:
-                partners.update(sorted(k for k in known if k < key and t in [x for _, x in known[k]])[:1])
-        hashes, sizes = [hash(t) for t in mine], [len(t.split()) for t in mine]
-        for bounds in {(i, j) for _, i, j in l.runs_of(hashes, sizes)}:
-            block = mine[bounds[0] : bounds[1]]
-            partners.update(sorted(k for k in known if k < key and any([x for _, x in known[k]][i : i + len(block)] == block for i in range(len(known[k]))))[:1])
-        for other in partners:
-            pairs = plain_patience([t for _, t in known[other]], mine)
+            pairs = plain_patience(theirs, mine)
             while pairs:
                 n = 1
                 while n < len(pairs) and pairs[n] == (pairs[0][0] + n, pairs[0][1] + n):
                     n += 1
-                if sum(sizes[j] for _, j in pairs[:n]) >= l.LINE_WORDS:
+                if sum(sizes[j] for _, j in pairs[:n]) >= l.BLOCK_WORDS:
                     gone.update(j for _, j in pairs[:n])
                 pairs = pairs[n:]
         out[key] = sorted(known[key][j][0] for j in gone)
@@ -117,7 +109,7 @@ def test_blocks_of_enough_words_are_complete():
     for _ in range(300):
         early, late = ([rng.randint(0, 5) for _ in range(rng.randint(0, 14))] for _ in range(2))
         sizes = [10 + x for x in late]
-        gone = set(l.common_lines((early, [10 + x for x in early]), (late, sizes), 1000, 25))
+        gone = set(l.common_lines((early, [10 + x for x in early]), (late, sizes), 25))
         want = set()
         for i, j in combinations(range(len(late) + 1), 2):
             if sum(sizes[i:j]) >= 25 and any(early[k : k + j - i] == late[i:j] for k in range(len(early))):
@@ -125,11 +117,23 @@ def test_blocks_of_enough_words_are_complete():
         assert gone == want
 
 
-def test_order_decides_on_short_blocks():
+def test_moved_blocks_go_too():
     lines = {c: n for n, c in enumerate("abcdefgh")}
     early, late = [lines[c] for c in "abcde"], [lines[c] for c in "fbcdga"]
-    assert l.common_lines((early, [12] * 5), (late, [12] * 6)) == [1, 2, 3]
-    assert l.common_lines((early, [50] * 5), (late, [50] * 6)) == [1, 2, 3, 5]
+    assert l.common_lines((early, [12] * 5), (late, [12] * 6)) == [1, 2, 3, 5]
+    assert l.common_lines((early, [4] * 5), (late, [4] * 6)) == [1, 2, 3]  # the moved line alone is too short
+
+
+def test_other_documents_change_nothing(spark):
+    """A block goes if any earlier document holds it, whether or not a third one holds a part of it; and if its lines are all short."""
+    line, x, y = " ".join(f"l{i}" for i in range(14)), "five words stand right here", "another five words stand here"
+    first, third, second = (1, line), (3, f"third own\n{x}\n{line}\n{y}"), (2, f"second own\n{x}\n{line}\n{y}")
+    for docs, want in (([first, second, third], {2: [2], 3: [1, 2, 3]}), ([second, third], {3: [1, 2, 3]})):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert {r["doc"]: r["gone"] for r in l.deleted_lines(df).collect()} == want
+    short = "six words are in this line\nand six more are in this\nthe last six words are here"
+    df = spark.createDataFrame([(1, "head\n" + short), (2, short + "\ntail")], "doc_id long, text string")
+    assert {r["doc"]: r["gone"] for r in l.deleted_lines(df).collect()} == {2: [0, 1, 2]}
 
 
 def test_odd_rows(spark, odd_texts):
