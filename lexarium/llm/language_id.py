@@ -39,12 +39,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexarium.llm._shared import crc_bucket, spread, strings, table
+from lexarium.llm._shared import crc_bucket, durable, spread, strings, table
 
 ORDER = 5
 SAMPLE = 1000
 PASSAGE = 2000
 CALIBRATE_EVERY = 5
+#: Rows of (language, hash) of the sample up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 REJECT = 0.5
 UNDETERMINED = "und"
 #: Characters that a model gives a share to besides those it has seen.
@@ -231,9 +233,12 @@ def learning_sample(docs: DataFrame, allowed: Column, sample: int = SAMPLE, pass
     rows = spread(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     first = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample)
+    first = durable(first.select("lang", "h", "place"))
+    if first.count() <= BROADCAST_ROWS:  # so that texts that aren't in the sample stay where they are
+        first = F.broadcast(first)
     start = F.greatest(F.lit(0), F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - passage))) + 1
     # copies are combined within each task before the shuffle
-    return rows.join(first.select("lang", "h", "place"), ["lang", "h"]).groupBy("lang", "place").agg(F.any_value(F.substring("text", start.cast("int"), F.lit(passage))).alias("passage"))
+    return rows.join(first, ["lang", "h"]).groupBy("lang", "place").agg(F.any_value(F.substring("text", start.cast("int"), F.lit(passage))).alias("passage"))
 
 
 MODEL = "lang string, unseen double, hashes array<binary>, logp array<binary>, backoff array<binary>"
@@ -258,16 +263,14 @@ def pieces(text: str) -> list[Counter]:
 
 def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE, passage: int = PASSAGE) -> Identifier:
     """An identifier from the rows of ``docs`` (text, lang) where ``allowed`` holds."""
-    from lexarium.llm._shared import durable
-
     rows = durable(learning_sample(docs, allowed, sample, passage))
     fitted = F.col("place") % CALIBRATE_EVERY != 0
-    found = rows.where(fitted).groupBy("lang").applyInArrow(_fit_language, MODEL).orderBy("lang").toArrow()  # bounded, see above
+    found = rows.where(fitted).groupBy("lang").applyInArrow(_fit_language, MODEL).toArrow()  # bounded, see above
     models = []
-    for r in found.to_pylist():
+    for r in sorted(found.to_pylist(), key=lambda r: r["lang"]):
         parts = zip(*([np.frombuffer(x, dtype) for x in r[c]] for c, dtype in (("hashes", np.uint64), ("logp", np.float32), ("backoff", np.float32))))
         models.append(([Order(*p) for p in parts], r["unseen"]))
-    model = Identifier(found.column("lang").to_pylist(), models)
+    model = Identifier(sorted(found.column("lang").to_pylist()), models)
     if len(models) < 2:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
