@@ -170,3 +170,34 @@ def per_case(rows: DataFrame, case: str, order: list[str], work, schema: str) ->
         yield pd.DataFrame(made, columns=columns)
 
     return rows.repartition(case).sortWithinPartitions(case, *order).mapInPandas(run, schema)
+
+
+def three_passes(requests: DataFrame, traces: str, most: int = 8) -> DataFrame:
+    """``requests`` with ``selected``: ids chosen in three passes over ``traces``, an array of (language, rows: array of (id, document, overlap)) of bounded length.
+
+    First each trace gives its best row by overlap (the first of equal ones) whose document its
+    language has not given yet; then rows with any overlap of documents that their language has
+    not given; then any row. Column folds only.
+    """
+    document = lambda t, r: F.concat_ws("\x00", F.coalesce(t["language"], F.lit("all")), F.coalesce(r["document"].cast("string"), r["id"].cast("string")))
+    kind = requests.schema[traces].dataType.elementType["rows"].dataType.elementType["id"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("ids"), F.array().cast("array<string>").alias("documents"))
+
+    def put(state: Column, ids: Column, documents: Column) -> Column:
+        return F.struct(F.array_union(state["ids"], ids).alias("ids"), F.array_union(state["documents"], documents).alias("documents"))
+
+    def best(state: Column, t: Column) -> Column:
+        numbered = F.transform(t["rows"], lambda r, i: F.struct(r["overlap"].alias("overlap"), (-i).alias("before"), r["id"].alias("id"), document(t, r).alias("document")))
+        top = F.array_max(F.filter(numbered, lambda r: ~F.array_contains(state["documents"], r["document"])))
+        return F.when(top.isNull() | (F.size(state["ids"]) >= most), state).otherwise(put(state, F.array(top["id"]), F.array(top["document"])))
+
+    rows = F.flatten(F.transform(traces, lambda t: F.transform(t["rows"], lambda r: F.struct(r["id"].alias("id"), document(t, r).alias("document"), r["overlap"].alias("overlap")))))
+
+    def unseen(state: Column, r: Column) -> Column:
+        fits = (F.size(state["ids"]) < most) & ~F.array_contains(state["ids"], r["id"]) & ~F.array_contains(state["documents"], r["document"]) & (r["overlap"] > 0)
+        return F.when(fits, put(state, F.array(r["id"]), F.array(r["document"]))).otherwise(state)
+
+    first = F.aggregate(traces, start, best)
+    second = requests.withColumn("__first", first).withColumn("__second", F.aggregate(rows, F.col("__first"), unseen))
+    filled = F.slice(F.array_union(F.col("__second")["ids"], F.transform(rows, lambda r: r["id"])), 1, most)
+    return second.withColumn("selected", filled).drop("__first", "__second")
