@@ -8,8 +8,10 @@
    a page that has none of them, or no host, uses its own best container.
 
 Elements that never hold main text (navigation, forms, scripts ...) and those
-whose role, id or class names say so are left out, reader comments included;
-a name that only begins with such a word ("form-factor") says nothing. Buttons and labels
+whose role, id or class names say so are left out, reader comments included.
+A name says so if it ends with such a word, words of place, build or look behind it apart
+("cookie-banner", "nav-links"); one that only begins with it ("cookie-recipe",
+"navigation-systems", "comment-free") says nothing. Buttons and labels
 within a sentence are text, standing alone they are not.
 Inline markup vanishes, character references are decoded, white space inside a
 block becomes one space, and blocks are joined by a newline in page order.
@@ -67,13 +69,15 @@ _RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class, id and role names that mark what is not main text.
 _MARKS = set(
-    "ad ads advert adverts advertisement advertising adbox adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "ad ads advert adverts advertisement advertising adbox adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
     "sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus respond reply replies share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login search searchbox widget widgets pagination pager toolbar complementary contentinfo form dialog paywall disclaimer".split()
 )
-#: Of these, names that mean something else in a longer name ("form-factor"): they mark only at its end, other words of place or build apart.
-_AMBIGUOUS = set("ad ads form header notice notices alert banner search share sharing social related reply replies respond login signup widget widgets dialog disclaimer menu overlay promo promotion subscription".split())
-_NEUTRAL = set("area bar block box button buttons card cards container content group inner item items left link links list main outer posts articles primary right row secondary section slot title top bottom unit wrap wrapper".split())
+#: Words behind a mark that leave it one: of place, build and look.
+_NEUTRAL = set(
+    "area bar block box button buttons card cards container content group inner item items left link links list main outer posts articles primary right row secondary section slot title top bottom unit wrap wrapper "
+    "body desktop fixed floating form icon icons inline large mobile panel small sticky text thread toggle wide".split()
+)
 _MAIN_MARKS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 
 
@@ -87,15 +91,13 @@ def _marked(attrs: dict[str, str]) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    return any(_names_aside(name) for name in names.split())
+    return attrs.get("role") == "alert" or any(_names_aside(name) for name in names.split())
 
 
 def _names_aside(name: str) -> bool:
     """Whether one class, id or role is of what is not main text."""
     words = [w.lower() for w in _SPLIT.split(name) if w]
-    if any(w in _MARKS and w not in _AMBIGUOUS for w in words):
-        return True
-    while len(words) > 1 and words[-1] in _NEUTRAL:
+    while len(words) > 1 and words[-1] in _NEUTRAL and words[-1] not in _MARKS:
         words.pop()
     return bool(words) and words[-1] in _MARKS
 

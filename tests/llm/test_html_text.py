@@ -24,6 +24,14 @@ def test_names_controls_and_sibling_articles():
     assert [h._names_aside(n) for n in ("ad-slot", "related-posts", "header-image", "cookie-box", "comments", "adSlot", "story", "site-footer-wide")] == [True, True, False, True, True, True, False, True]
 
 
+def test_article_text_stays_whatever_its_names_begin_with():
+    long = "A paragraph with quite a number of words in it, so that it counts as text of the page."
+    inside = '<div class="cookie-recipe"><p>Take some flour.</p></div><p class="navigation-systems">Stars and gyroscopes.</p><p class="comment-free">No remarks.</p><div class="alert alert-info"><p>Mind the step.</p></div>'
+    assert h.extract(f"<body><article><p>{long}</p>{inside}</article></body>", []) == f"{long}\nTake some flour.\nStars and gyroscopes.\nNo remarks.\nMind the step."
+    outside = '<div class="cookie-banner"><p>We use them.</p></div><ul class="nav-links"><li>Home</li></ul><div class="comment-thread"><p>First!</p></div><div role="alert"><p>Down today.</p></div><div id="newsletter-form"><p>Sign up.</p></div>'
+    assert h.extract(f"<body><article><p>{long}</p>{outside}</article></body>", []) == long
+
+
 def test_nine_templates_and_very_long_pages(spark):
     rows = []
     for k in range(9):
