@@ -5,20 +5,29 @@ bytes are summed by slot; a slot map (version, slot, shard) assigns slots to
 shards, and a rebalance writes a further version in which only the slots that
 must move have changed. The slot map is made by one fold over at most ``SLOTS``
 rows of (slot, bytes), a number that does not grow with the data: each slot, largest
-first, goes to the shard that has least so far.
+first, goes to the shard that has least so far. Maps are stored, a folder a version; rows are
+placed by a map that is read from there, so that a placement can be told and repeated.
+
+The law is that of bytes: groups of equal texts are not kept together, as one of
+them may hold a third of all rows; each row goes by its doc_id. ``slot`` in the query's
+result is a row's place in its shard, from 0 without gaps within each shard.
 
 Null texts have no bytes (size 16, CRC of nothing); rows without a doc_id
-are hashed by their text. Equal rows share a slot. An empty table gives no rows and an empty map.
-Further columns do not enter.
+are hashed by their text. Equal rows share a virtual slot. Slots of equal bytes come in the order of
+their numbers, shards of equal load too. A very long text is one row of its size, and
+the shard that has it may be that much larger. An empty table gives no rows and an empty map.
+Further columns do not enter, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexarium.llm._shared import durable, table
+from lexarium.llm._shared import durable, shared_folder, table
 
 SLOTS = 8192
 SHARDS = 40
@@ -84,6 +93,18 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     return kept.unionByName(moved)
 
 
+def save_map(mapping: DataFrame, folder: str, version: int) -> None:
+    """Store a version of a map; one that is there already is an error."""
+    mapping.drop("version").coalesce(1).write.parquet(f"{folder}/version={version}")
+
+
+def read_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """(version, virtual_slot, shard) of a stored version, or of the last."""
+    stored = spark.read.schema("virtual_slot int, shard int, version int").parquet(folder)
+    chosen = version if version is not None else stored.agg(F.max("version")).first()[0]
+    return stored.where(F.col("version") == F.lit(chosen)).select("version", "virtual_slot", "shard")
+
+
 def place(rows: DataFrame, mapping: DataFrame, sizes: DataFrame) -> DataFrame:
     """``rows`` with shard and slot, the row's place within its shard from 0 without gaps.
 
@@ -105,8 +126,12 @@ def place(rows: DataFrame, mapping: DataFrame, sizes: DataFrame) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = durable(records(table(spark, sf_dir, "documents")))
     sizes = durable(slot_bytes(rows))
-    mapping = durable(slot_map(sizes))
-    return place(rows, mapping, sizes).select(
+    folder = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    save_map(slot_map(sizes), folder, 1)
+    mapping = read_map(spark, folder, 1)
+    save_map(rebalance(mapping, sizes, SHARDS + 1), folder, 2)  # the edit for one more shard
+    later = read_map(spark, folder, 2).select("virtual_slot", F.col("version").alias("next_version"), F.col("shard").alias("next_shard"))
+    return place(rows, mapping, sizes).join(F.broadcast(later), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version", "next_shard", "next_version",
     )

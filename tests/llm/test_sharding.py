@@ -48,3 +48,42 @@ def test_empty_table(spark):
     found = s.records(docs)
     sizes = s.slot_bytes(found)
     assert s.place(found, s.slot_map(sizes), sizes).count() == 0
+
+
+def test_map_equals_plain_greedy(spark):
+    rng = random.Random(16)
+    sizes = [(i, rng.choice([5, 9, 100, rng.randint(1, 300)])) for i in rng.sample(range(8192), 700)]
+    df = spark.createDataFrame(sizes, "virtual_slot int, bytes long")
+    load, want = [0] * 12, {}
+    for slot, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        want[slot] = min(range(12), key=lambda k: (load[k], k))
+        load[want[slot]] += size
+    assert {r["virtual_slot"]: r["shard"] for r in s.slot_map(df, 12).collect()} == want
+
+
+def test_maps_are_stored_by_version(spark, tmp_path):
+    sizes = spark.createDataFrame([(i, 10 + i % 7) for i in range(300)], "virtual_slot int, bytes long")
+    first = s.slot_map(sizes, 4)
+    s.save_map(first, str(tmp_path / "map"), 1)
+    s.save_map(s.rebalance(s.read_map(spark, str(tmp_path / "map")), sizes, 5), str(tmp_path / "map"), 2)
+    of = lambda *v: {r["virtual_slot"]: (r["version"], r["shard"]) for r in s.read_map(spark, str(tmp_path / "map"), *v).collect()}
+    old, new = of(1), of()
+    assert {v for v, _ in old.values()} == {1} and {v for v, _ in new.values()} == {2} and old.keys() == new.keys()
+    assert {k for _, k in new.values()} == set(range(5)) and 40 <= sum(old[k][1] != new[k][1] for k in old) <= 75
+    try:
+        s.save_map(first, str(tmp_path / "map"), 2)
+    except Exception as e:
+        assert "ALREADY_EXISTS" in str(e)
+    else:
+        raise AssertionError("a stored version must stay")
+
+
+def test_query_on_odd_tables(spark, tmp_path, odd_texts):
+    schema = "doc_id long, text string, virtual_slot string, slot string, version string"
+    rows = [(i, t, "x", "y", "z") for i, t in enumerate(odd_texts)] + [(None, "a", "x", "y", "z"), (3, odd_texts[3], "x", "y", "z")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    out = s.op10_sharding(spark, f"{tmp_path}/a").collect()
+    assert sorted((r["size"], r["text_crc32"]) for r in out) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
+    assert {(r["law"], r["grown_shard"], r["version"], r["next_version"]) for r in out} == {("bytes", None, 1, 2)} and all(0 <= r["shard"] < 40 and 0 <= r["next_shard"] <= 40 for r in out)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert s.op10_sharding(spark, f"{tmp_path}/b").count() == 0
