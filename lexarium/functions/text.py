@@ -67,7 +67,7 @@ def readable(html: Column) -> Column:
 
 def facets(query: Column, most: int = 4) -> Column:
     """Clauses between ; full-width ; and line breaks without list marks; those beyond ``most`` joined again; a single one is the query."""
-    parts = F.filter(F.transform(F.split(query, "[;；\n]+"), lambda p: F.trim(F.regexp_replace(F.trim(p), "^([-*]|[0-9]+[.)])[ ]*", ""))), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(query, "[;；\n]+"), lambda p: F.trim(F.regexp_replace(F.trim(p), "^([-*•]|[0-9]+[.)、])[ ]*", ""))), lambda p: p != "")
     tail = F.concat(F.slice(parts, 1, most - 1), F.array(F.array_join(F.slice(parts, most, 2**30), "；")))
     return F.when(F.size(parts) <= 1, F.array(query)).when(F.size(parts) > most, tail).otherwise(parts)
 

@@ -54,7 +54,7 @@ def t08_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", readable(F.col("html")).alias("body"))
 
 
-@query("""WITH p AS (SELECT item_id, text, list_filter(list_transform(string_split_regex(text, '[;；\\n]+'), lambda p: trim(regexp_replace(trim(p), '^([-*]|[0-9]+[.)])[ ]*', ''))), lambda p: p <> '') AS ps FROM benchmark)
+@query("""WITH p AS (SELECT item_id, text, list_filter(list_transform(string_split_regex(text, '[;；\\n]+'), lambda p: trim(regexp_replace(trim(p), '^([-*•]|[0-9]+[.)、])[ ]*', ''))), lambda p: p <> '') AS ps FROM benchmark)
 SELECT item_id, unnest(CASE WHEN len(ps) <= 1 THEN [text] WHEN len(ps) > 4 THEN list_concat(ps[1:3], [array_to_string(ps[4:], '；')]) ELSE ps END) AS facet FROM p""")
 def t12_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(facets(F.col("text"))).alias("facet"))

@@ -18,7 +18,7 @@ from lexarium.sources.tables import CHUNKS_SQL, SECTIONS_SQL, sections, spread,
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the session shares; only a session in one JVM may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.split("[")[0] == "local":
+    if folder is None and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(folder or tempfile.mkdtemp(prefix='lexarium-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

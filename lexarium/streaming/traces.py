@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the session shares between its machines; only a session in one JVM may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
+    if base is None and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = base or tempfile.mkdtemp(prefix="lexarium-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

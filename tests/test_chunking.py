@@ -9,7 +9,7 @@ def parts(spark, text, most):
 
 def test_headings_and_packing(spark):
     text = "intro\n# A\none\n\ntwo\n### C\ndeep\n## B ##\n" + "x" * 25
-    assert parts(spark, text, 10) == [([], "intro"), (["A"], "one\n\ntwo"), (["A", "C"], "deep"), (["A", "B"], "x" * 10), (["A", "B"], "x" * 10), (["A", "B"], "x" * 5)]
+    assert parts(spark, text, 10) == [([], "intro"), (["A"], "one\n\ntwo"), (["A", "C"], "deep"), (["A", "B ##"], "x" * 10), (["A", "B ##"], "x" * 10), (["A", "B ##"], "x" * 5)]
     assert parts(spark, "aaaa\n\nbbbb\n\ncc", 8) == [([], "aaaa\n\nbbbb"), ([], "cc")]
     assert parts(spark, "", 8) == [] and parts(spark, "# only", 8) == []
     assert parts(spark, "y" * 12 + "\n\nzz", 8) == [([], "y" * 8), ([], "yyyy\n\nzz")]
