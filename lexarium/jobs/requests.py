@@ -9,6 +9,7 @@ from lexarium.functions.text import latin_terms
 from lexarium.jobs.registry import query
 from lexarium.jobs.retrieval import BM25_SQL, TERM_SQL
 from lexarium.operators import evidence_search as e
+from lexarium.operators.containment import with_held
 from lexarium.sources.tables import spread, table
 
 #: Words of a clause, and clauses of a request.
@@ -56,9 +57,9 @@ def x12_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _requests(spark, sf_dir)
     held = F.forall("symbols", lambda s: F.array_contains("said", s))
     # a symbol may stand inside a longer term, so the symbols that a text holds are found in the pass itself
-    wanted = [x["s"] for x in queries.where("requirement").select(F.explode("symbols").alias("s")).distinct().orderBy("s").collect()]
-    said = F.filter(F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"), lambda s: F.contains(F.lower("text"), s))
-    found = e.search(views, queries, "doc_id", "source", "text", top_k=5, budget=40, per_parent=4, held=held, carry={"said": said})
+    wanted = [x["s"] for x in queries.where("requirement").select(F.explode("symbols").alias("s")).distinct().collect()]
+    views = with_held(views, "text", wanted, "said", lower=True)
+    found = e.search(views, queries, "doc_id", "source", "text", top_k=5, budget=40, per_parent=4, held=held, carry={"said": F.col("said")})
     return found.select("request_id", "rank", "source", F.round("score", 6).alias("score"), F.array_join(F.transform("views", lambda v: v.cast("string")), ",").alias("views"), "seated")
 
 

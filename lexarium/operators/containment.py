@@ -52,3 +52,32 @@ def _block(texts: DataFrame, wanted: list[tuple[str, list[int]]]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["key", "n"])
 
     return texts.mapInArrow(count, "key long, n long")
+
+
+def with_held(rows: DataFrame, text: str, wanted: list[str], name: str, lower: bool = False) -> DataFrame:
+    """``rows`` with ``name``: which of the wanted texts (a batch's, so few) each text holds, in their order; found in one reading of it."""
+    import ahocorasick
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, StringType
+
+    names = [c for c in rows.columns if c != name]
+    schema = rows.select(*names).schema.add(name, ArrayType(StringType()))
+    arrow = to_arrow_schema(schema)
+    shared = rows.sparkSession.sparkContext.broadcast(sorted({w for w in wanted if w}))
+    always = [""] if "" in wanted else []
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for i, w in enumerate(shared.value):
+            machine.add_word(w, i)
+        if len(machine):
+            machine.make_automaton()
+        for b in batches:
+            out = []
+            for t in b.column(names.index(text)).to_pylist():
+                t = t.lower() if lower and t else t
+                found = sorted({i for _, i in machine.iter(t)}) if t and len(machine) else []
+                out.append(None if t is None else always + [shared.value[i] for i in found])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow.field(len(names)).type)], schema=arrow)
+
+    return rows.select(*names).mapInArrow(find, schema)

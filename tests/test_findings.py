@@ -59,3 +59,12 @@ def test_containment_in_blocks(spark, monkeypatch, chars):
     wanted = spark.createDataFrame([(1, "abc"), (2, "bc"), (3, ""), (4, "zz"), (5, "bc"), (6, None)], "k long, w string")
     got = {r["k"]: r["holders"] for r in containment.holders(texts, "body", wanted, "k", "w").collect()}
     assert got == {1: 1, 2: 2, 3: 3, 5: 2}
+
+
+def test_texts_held(spark):
+    from lexarium.operators import containment
+
+    rows = spark.createDataFrame([(1, "Abcabc"), (2, "xbc"), (3, None), (4, "")], "i long, body string")
+    got = {r["i"]: r["w"] for r in containment.with_held(rows, "body", ["bc", "abc", "zz", "bc"], "w", lower=True).collect()}
+    assert got == {1: ["abc", "bc"], 2: ["bc"], 3: None, 4: []}
+    assert {tuple(r["w"] or ()) for r in containment.with_held(rows, "body", [], "w").collect()} == {()}
