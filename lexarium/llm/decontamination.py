@@ -7,7 +7,8 @@ scanned once, and each hit is mapped back to word positions and to character
 offsets of the original text.
 
 Null and empty texts have no words and are never contaminated; items without
-words have no window. Repeated rows get equal results; further columns do not
+words have no window. Very long texts are scanned whole. An empty table of texts gives
+no rows, an empty benchmark no hits. Repeated rows get equal results; further columns do not
 enter. The automaton is broadcast only up to ``MAX_CHARS`` characters of
 windows; a larger benchmark is cut by item into parts of at most that size,
 each scanned in turn, and the hits of the parts are put together per document row.

@@ -11,7 +11,7 @@ roots mean equal texts, and differing sections and leaves locate an edit.
 ``likeness`` is the Dice coefficient of the leaves' weights (their characters),
 1 for equal roots, and 0 where only one text is empty.
 
-Null is the empty text. Rows of one doc_id stand in the order of their texts;
+Null is the empty text. An empty table gives no rows. Rows of one doc_id stand in the order of their texts;
 a null doc_id comes first. Very long texts are hashed whole. Further columns do
 not enter.
 """

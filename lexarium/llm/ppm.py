@@ -18,7 +18,8 @@ The base is a unigram of words. Tokens that make up at least a millionth of all
 (so at most a million of them) are broadcast; the other tokens of each text are
 joined to the counts.
 
-Null and empty texts are one end mark. Rows with equal ids are scored each for
+Null and empty texts are one end mark. An empty table gives no rows. Nothing is ranked, so
+there are no ties. Rows with equal ids are scored each for
 itself; a null doc_id is learnt from and scored. Very long texts are scored
 whole, in slices. Further columns do not enter. With no learning text every
 byte has the same probability.

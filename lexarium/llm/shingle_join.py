@@ -31,7 +31,8 @@ near-duplicates) and n_links (other documents at the threshold or above).
 
 Null, empty and wordless texts are classes of their own without links. Repeated
 rows count as documents; rows without doc_id are not compared (class_id null).
-Further columns do not enter. An empty table gives an empty result.
+Further columns do not enter. An empty table gives an empty result. Very long texts are
+read whole; a class of one is a block of its own if it is as long as a block may be.
 """
 
 from __future__ import annotations
