@@ -17,14 +17,24 @@ from lexarium.llm._shared import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go."""
+    """Documents whose score reaches the threshold go; the model is learned from labelled documents of ``docs``.
+
+    Null, empty and wordless texts stay (no evidence), and so do all without labels of both kinds. Equal texts
+    have equal scores, so they go or stay together. Very long texts are scored whole. An empty table stays
+    empty. All columns are kept, whatever their names.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learning_rows(F.col("doc_id")))
     scored = toxicity.score(docs, model, column="__toxicity")
     return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_aligned_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document holds too go; n_chars follows the text."""
+    """Blocks of lines that an earlier document holds too go; n_chars follows the text.
+
+    Null and empty texts and rows without doc_id stay as they are; documents of which nothing is left go. Rows of
+    one doc_id come in the order of a hash of their texts, repeated rows are one document. Very long texts are
+    read whole. An empty table stays empty. All columns are kept, whatever their names.
+    """
     return with_length(line_dedup.dedup(docs), docs)
 
 
@@ -35,16 +45,25 @@ def with_length(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that near copies connect, the first by doc_id stays.
+
+    Null, empty and wordless texts are nobody's copies, and rows without doc_id are not compared: they stay. Of
+    repeated rows one stays. Very long texts are read whole. An empty table stays empty. All columns are kept.
+    """
     return shingle_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go.
+
+    Null and empty texts stay; without a benchmark all do. Equal texts go or stay together. Very long texts are
+    scanned whole. An empty table stays empty. All columns are kept, whatever their names.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the token ids and their digests."""
+    """doc_id, the token ids and their digests of each row, null and empty texts with none; repeated rows alike, very long texts whole, an empty table as no rows."""
     import public_tokenizers
 
     return byte_bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, keep_text=False)
