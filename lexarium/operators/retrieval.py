@@ -100,47 +100,76 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Query vectors that every task gets at once.
+#: Query vectors that every task gets at once; more are dealt with the vectors.
 QUERY_BLOCK = 4096
+#: Vectors that a task holds while queries stream past them.
+TILE_ROWS = 32_768
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact inner products of ``queries`` (qid, q) with all ``vectors`` (vec_id, embedding), queries in blocks.
+    """Exact inner products of ``queries`` (qid, q) with all ``vectors`` (vec_id, embedding).
 
-    A block of at most about QUERY_BLOCK query vectors is broadcast at a time; more
-    queries mean more passes. Scores are never all kept: each task keeps its best
-    k of each query before the shuffle.
+    Up to QUERY_BLOCK queries are broadcast and vectors stay where they are read. More
+    queries are dealt to tiles of about TILE_ROWS vectors, each of which a task
+    holds while all queries stream past it; none of them goes through the driver. Scores are never all kept:
+    a task sends on its best k of each query.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        part = _dense_block(vectors, own.orderBy("qid").collect(), k)
-        found = part if found is None else found.union(part)
+    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    found = _dense_block(vectors, queries.orderBy("qid").collect(), k) if few else _dense_tiles(vectors, queries, k)
     return top_k(found, "qid", k, *best_first("vec_id"))
 
 
-def _dense_block(vectors: DataFrame, rows: list, k: int) -> DataFrame:
+def _nearest(q_ids, q, v_ids, v, k: int):
     import numpy as np
     import pandas as pd
 
+    score = q @ v.T
+    order = np.lexsort((np.broadcast_to(v_ids, score.shape), -np.round(score, 9)))[:, :k]
+    return pd.DataFrame({"qid": np.repeat(q_ids, order.shape[1]), "vec_id": v_ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+
+
+def _dense_block(vectors: DataFrame, rows: list, k: int) -> DataFrame:
+    import numpy as np
+
     ids = np.array([r["qid"] for r in rows], dtype=np.int64)
     wanted = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r["q"] for r in rows], dtype=np.float64)))
 
     def best(batches):
         ids, q = wanted.value
         for pdf in batches:
-            if pdf.empty or not len(ids):
-                continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            score = q @ v.T
-            own = pdf["vec_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, 9)))[:, :k]
-            yield pd.DataFrame({"qid": np.repeat(ids, order.shape[1]), "vec_id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+            if not pdf.empty and len(ids):
+                yield _nearest(ids, q, pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(np.float64), k)
 
     return vectors.select("vec_id", "embedding").mapInPandas(best, "qid long, vec_id long, score double")
 
 
+def _dense_tiles(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    import numpy as np
+
+    tiles = max(1, -(-vectors.count() // TILE_ROWS))
+    held = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).alias("tile"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"), F.lit(1).alias("kind"), F.col("qid").alias("id"), F.col("q").cast("array<double>").alias("v"))
+
+    def best(batches):
+        tile, ids, parts = None, [], []
+        for pdf in batches:
+            for (own, kind), rows in pdf.groupby(["tile", "kind"], sort=True):
+                if own != tile:
+                    tile, ids, parts = own, [], []
+                v = np.stack(rows["v"].to_numpy())
+                if kind == 0:
+                    ids.append(rows["id"].to_numpy())
+                    parts.append(v)
+                    continue
+                if not parts:
+                    continue
+                ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+                for at in range(0, len(v), 64):  # so many rows of scores at once
+                    yield _nearest(rows["id"].to_numpy()[at:at + 64], v[at:at + 64], ids[0], parts[0], k)
+
+    return held.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "kind").mapInPandas(best, "qid long, vec_id long, score double")
+
+
 def reciprocal_rank_fusion(rankings: DataFrame, query: str, key: str, k: int = 60, once: bool = False) -> DataFrame:
     """``rankings``: (query, list_id, key, rank). (query, key, rrf_score, lists).
 

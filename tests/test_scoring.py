@@ -72,3 +72,22 @@ def test_text_keys_and_null_keys(spark):
     found = spark.createDataFrame([(3, 2, ["a"]), (None, 2, ["a"]), (1, 2, ["a"])], "id long, len long, hits array<string>").coalesce(1)
     assert [x["id"] for x in s.best_rows(found, terms, "id", "q", 2).collect()] == [None, 1]
     assert s.best_rows(found.limit(0), terms, "id", "q", 2).count() == 0 and s.best_rows(found, terms.limit(0), "id", "q", 2).count() == 0
+
+
+def test_dense_search_is_exact_however_queries_are_dealt(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150, 6)).round(1).astype(np.float32)
+    v[100:120] = v[7]  # ties
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    queries = vectors.where("vec_id % 4 = 0").selectExpr("vec_id AS qid", "embedding AS q")
+    want = []
+    for i in range(0, 150, 4):
+        score = v.astype(float) @ v[i].astype(float)
+        want += [(i, int(j)) for j in np.lexsort((np.arange(150), -score.round(9)))[:5]]
+    for block, tile in ((4096, 32_768), (3, 40)):
+        monkeypatch.setattr(r, "QUERY_BLOCK", block)
+        monkeypatch.setattr(r, "TILE_ROWS", tile)
+        assert sorted((x["qid"], x["vec_id"]) for x in r.dense_search(vectors, queries, 5).collect()) == sorted(want)
+    assert r.dense_search(vectors, queries.limit(0), 5).count() == 0
