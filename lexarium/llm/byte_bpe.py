@@ -17,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ from lexarium.llm._shared import spread, table, text_or_empty
 
 #: Pre-tokens that a Python worker remembers with their ids; then it starts anew.
 CACHE = 200_000
-#: Documents whose new pre-tokens are encoded in one call.
+#: Documents whose new pre-tokens are encoded in one call, and whose results are held together.
 GROUP = 128
+ROWS_OUT = 4 * GROUP
 #: A vocabulary file is broadcast; one that is larger than this is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -136,11 +138,12 @@ def codec_of(tokens: list[bytes], pattern: str) -> Codec:
 def _worker(tokens_on, pattern: str, out: pa.Schema, ids_wanted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokens_on.value, pattern)
-        for rows in batches:
+        for rows in (whole.slice(at, ROWS_OUT) for whole in batches for at in range(0, whole.num_rows, ROWS_OUT)):
             made: list[list] = [[] for _ in range(3 + ids_wanted)]
             for ids, decoded in codec.encode(rows.column(rows.num_columns - 1).to_pylist()):
                 row = [ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                for column, value in zip(made, row + [[int(i) for i in ids.split()]] * ids_wanted):
+                # token ids as machine integers: as objects they'd take ten times the memory
+                for column, value in zip(made, row + [np.array(ids.split(), dtype=np.int32)] * ids_wanted):
                     column.append(value)
             arrays = [rows.column(i) for i in range(rows.num_columns - 1)] + [pa.array(c, f.type) for c, f in zip(made, list(out)[rows.num_columns - 1:])]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
