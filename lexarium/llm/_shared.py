@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Only a session in one JVM (a local test) may do without: it gets a temporary one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="lexarium-")
 
