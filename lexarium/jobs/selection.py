@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexarium.functions.text import latin_terms
 from lexarium.jobs.registry import query
 from lexarium.operators import selection as s
+from lexarium.operators.segments import stalled
 from lexarium.sources.tables import chunks, table
 
 
@@ -56,16 +57,13 @@ def s11_snapshot_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.per_case(rows, "host", ["url", "page_id"], work, "host string, page_id long")
 
 
-@query()
+@query("""WITH o AS (SELECT user_id, event_id, value, row_number() OVER w AS i, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT *, max(CASE WHEN best IS NULL OR value > best THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS last FROM o)
+SELECT user_id, event_id FROM p WHERE i - coalesce(last, 0) = 10""")
 def w08_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs without progress for ten events, told once until the next progress."""
-
-    def work(rows):
-        rows, values = tee(rows)
-        return ((r.user_id, r.event_id) for r, stalled in zip(rows, s.stalling((r.value for r in values), 10)) if stalled)
-
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    return s.per_case(events, "user_id", ["ts", "event_id"], work, "user_id long, event_id long")
+    """Runs without progress for ten events, told once until the next progress; runs are cut by day, what days carry over is a few numbers."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return stalled(events, "user_id", ["ts", "event_id"], F.col("value"), F.date_trunc("day", "ts"), 10).select("user_id", "event_id")
 
 
 @query()

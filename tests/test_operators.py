@@ -167,3 +167,19 @@ def test_consistency_pairs_are_counted_not_made(spark, tmp_path):
                 pairs, s = want.get(x["lang"], (0, 0))
                 want[x["lang"]] = pairs + 1, s + x["n"]
     assert want and {r["lang"]: (r["pairs"], r["s"]) for r in out.collect()} == want
+
+
+def test_stalls_in_segments_equal_those_of_whole_cases(spark):
+    from lexarium.operators.segments import stalled
+
+    rng = random.Random(8)
+    rows = [(case, i, rng.choice([None, float("nan"), *map(float, range(12))]) if case else float(i % 5)) for case in range(6) for i in range(rng.randint(1, 90))]
+    df = spark.createDataFrame(rows, "case int, i int, value double").repartition(3)
+    want = set()
+    for case in range(6):
+        own = sorted((i, v) for c, i, v in rows if c == case)
+        for (i, _), told in zip(own, selection.stalling((float("-inf") if v is None else v for _, v in own), 4)):
+            want |= {(case, i)} if told else set()
+    for width in (1, 7, 1000):
+        got = stalled(df, "case", ["i"], F.col("value"), F.floor(F.col("i") / width), 4)
+        assert want and {(r["case"], r["i"]) for r in got.collect()} == want
