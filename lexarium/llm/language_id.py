@@ -45,6 +45,8 @@ ORDER = 5
 SAMPLE = 1000
 PASSAGE = 2000
 CALIBRATE_EVERY = 5
+#: So many times the sample's texts are ranked: fewer than the sample are among them with a probability below 1e-100.
+MARGIN = 4
 #: Rows of (language, hash) of the sample up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 REJECT = 0.5
@@ -232,15 +234,23 @@ def learning_sample(docs: DataFrame, allowed: Column, sample: int = SAMPLE, pass
     """(lang, place, passage) of at most ``sample`` different texts with letters of each language."""
     rows = spread(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    first = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample)
-    first = durable(first.select("lang", "h", "place"))
-    if first.count() <= BROADCAST_ROWS:  # so that texts that aren't in the sample stay where they are
-        first = F.broadcast(first)
+    kinds = durable(rows.select("lang", "h").distinct())
+    u = F.pmod("h", F.lit(1 << 31))
+    # u is uniform: of a language of many texts about MARGIN times the sample enter the ranking, however many there are
+    sizes = _small(durable(kinds.groupBy("lang").agg(F.count("*").alias("all"))))
+    near = kinds.join(sizes, "lang").where(u * F.col("all") < F.lit(MARGIN * sample * float(1 << 31))).select("lang", "h")
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(u, "h"))).where(F.col("place") <= sample)
+    first = _small(durable(first))  # so that texts that aren't in the sample stay where they are
     start = F.greatest(F.lit(0), F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - passage))) + 1
     # copies are combined within each task before the shuffle
     return rows.join(first, ["lang", "h"]).groupBy("lang", "place").agg(F.any_value(F.substring("text", start.cast("int"), F.lit(passage))).alias("passage"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a table of few rows; more are left to Spark."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 MODEL = "lang string, unseen double, hashes array<binary>, logp array<binary>, backoff array<binary>"
 
 
