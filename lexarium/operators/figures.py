@@ -40,31 +40,53 @@ def resolved(document_path: Column, target: Column) -> Column:
     return F.when(~target.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)") & (bare != ""), F.aggregate(steps, start, step, end))
 
 
+def _targets(texts: DataFrame, root: str, key: str, path: str, found: Column) -> DataFrame:
+    """(root, key, at, alt, target, asset_path) of every target of ``texts``; asset_path is null where it doesn't resolve."""
+    each = texts.select(root, F.col(key).alias("key"), path, F.posexplode(found).alias("at", "f"))
+    return each.select(root, "key", "at", F.col("f.alt").alias("alt"), F.col("f.target").alias("target"), resolved(F.col(path), F.col("f.target")).alias("asset_path"))
+
+
+def _figure_id(root: str) -> Column:
+    return F.substring(F.sha2(F.concat_ws(":", root, "asset_path"), 256), 1, 16)
+
+
+def references(texts: DataFrame, root: str, key: str, path: str, found: Column) -> DataFrame:
+    """(figure_id, asset_path, key, at, alt): all references that resolve, one a row, however many a target has."""
+    known = _targets(texts, root, key, path, found).where("asset_path IS NOT NULL")
+    return known.select(_figure_id(root).alias("figure_id"), "asset_path", "key", "at", "alt")
+
+
 def inventory(texts: DataFrame, root: str, key: str, path: str, found: Column) -> tuple[DataFrame, DataFrame]:
     """((root, asset_path, figure_id, references), (root, external, unresolved)) of ``texts`` (root, key, path): ``found`` is its array of (target, alt).
 
     References of a target are counted and kept as (key, at, alt) in order of key and place; the first
-    ``1000`` by that order are listed, ``n_references`` counts all.
+    ``1000`` by that order are listed, ``n_references`` counts all; ``references`` has all as rows.
     """
-    refs = texts.select(root, F.col(key).alias("key"), path, F.posexplode(found).alias("at", "f")).select(root, "key", "at", F.col("f.alt").alias("alt"), F.col("f.target").alias("target"), resolved(F.col(path), F.col("f.target")).alias("asset_path"))
+    refs = _targets(texts, root, key, path, found)
     outside = F.col("target").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)")
     counts = refs.where("asset_path IS NULL").groupBy(root).agg(F.count_if(outside).alias("external"), F.count_if(~outside).alias("unresolved"))
     place = F.row_number().over(Window.partitionBy(root, "asset_path").orderBy("key", "at"))
     known = refs.where("asset_path IS NOT NULL")
     totals = known.groupBy(root, "asset_path").agg(F.count("*").alias("n_references"))
     listed = known.withColumn("place", place).where("place <= 1000").groupBy(root, "asset_path").agg(F.array_sort(F.collect_list(F.struct("key", "at", "alt"))).alias("references"))
-    figure = F.substring(F.sha2(F.concat_ws(":", root, "asset_path"), 256), 1, 16)
-    return totals.join(listed, [root, "asset_path"]).withColumn("figure_id", figure), counts
+    return totals.join(listed, [root, "asset_path"]).withColumn("figure_id", _figure_id(root)), counts
+
+
+def _rows_of(figures: DataFrame) -> DataFrame:
+    """Rows of ``references`` as they are, or the listed ones of an inventory."""
+    if "references" not in figures.columns:
+        return figures
+    return figures.select("figure_id", "asset_path", F.explode("references").alias("r")).select("figure_id", "asset_path", "r.key", "r.at", "r.alt")
 
 
 def borne_out(rows: DataFrame, figures: DataFrame, key: str) -> DataFrame:
-    """Rows (figure_id, key ...) about a figure that a listed reference of it, by the same key, bears out."""
-    return rows.join(figures.select("figure_id", "references"), "figure_id").where(F.exists("references", lambda r: r["key"] == F.col(key))).drop("references")
+    """Rows (figure_id, key ...) about a figure that a reference of it, by the same key, bears out. ``figures`` are all ``references``, or an inventory with those it lists."""
+    return rows.join(_rows_of(figures).select("figure_id", F.col("key").alias(key)).distinct(), ["figure_id", key], "left_semi")
 
 
 def reviewed_chunks(figures: DataFrame, sources: DataFrame, key: str, content: Column) -> DataFrame:
-    """One row a figure and source (key ...) that refers to it, with a chunk_id by hash; the first reference of equal ids stays."""
-    each = figures.select("figure_id", "asset_path", F.explode("references").alias("r")).select("figure_id", "asset_path", F.col("r.key").alias(key), F.col("r.at").alias("at"), F.col("r.alt").alias("alt"))
+    """One row a figure and source (key ...) that refers to it, with a chunk_id by hash; the first reference of equal ids stays. ``figures`` as for ``borne_out``."""
+    each = _rows_of(figures).withColumnRenamed("key", key)
     met = each.join(sources, key).withColumn("content", content).where(F.trim("content") != "")
     named = met.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), "figure_id", "content"), 256), 1, 24))
     return named.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy(key, "at"))).where("k = 1").drop("k")
