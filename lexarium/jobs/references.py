@@ -42,4 +42,4 @@ SELECT page_id, figure_id, alt AS content, min(pos) AS pos, substr(sha256(page_i
 def j08_reviewed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each target, page and wording of a link, the first of equal ones."""
     pages = table(spark, sf_dir, "pages").select("page_id")
-    return g.reviewed_chunks(g.inventory(*_texts(spark, sf_dir))[0], pages, "page_id", F.col("alt")).select("page_id", "figure_id", "content", F.col("at").cast("long").alias("pos"), "chunk_id")
+    return g.reviewed_chunks(g.references(*_texts(spark, sf_dir)), pages, "page_id", F.col("alt")).select("page_id", "figure_id", "content", F.col("at").cast("long").alias("pos"), "chunk_id")
