@@ -134,8 +134,11 @@ def u19_task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH u AS (SELECT user_id, event_type AS dim, sum(value) AS used FROM events GROUP BY ALL)
 SELECT user_id, round(sum(greatest(0, 400 - used)), 4) AS remaining, coalesce(string_agg(dim, ',' ORDER BY dim) FILTER (used >= 400), '') AS exhausted FROM u GROUP BY user_id""")
 def u21_budget_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What remains, and the exhausted dimensions by name."""
-    u = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("dim")).agg(F.sum("value").alias("used"))
+    """What remains, and the exhausted dimensions by name.
+
+    Sums of doubles depend on the order of rows in their last places; to nine places they don't, so a sum of exactly 400 is always exhausted.
+    """
+    u = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("dim")).agg(F.round(F.sum("value"), 9).alias("used"))
     gone = F.array_sort(F.collect_list(F.when(F.col("used") >= 400, F.col("dim"))))
     return u.groupBy("user_id").agg(F.round(F.sum(F.greatest(F.lit(0.0), 400 - F.col("used"))), 4).alias("remaining"), F.array_join(gone, ",").alias("exhausted"))
 
