@@ -29,11 +29,13 @@ HEADER_ROW = re.compile(r"<tr\b[^>]*>.*?<th\b.*?</tr>", re.S | re.I)
 
 #: Characters that packed prose may have, that a table row or fence may have as one view, and that evidence may have.
 SOFT, LARGEST_UNIT, EVIDENCE = 1800, 6000, 6000
+#: Rows, and characters of them, that a task holds before it hands them on.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 2_000, 2_000_000
 ATOMIC = {"code_fence", "table", "python_definition", "yaml_mapping"}
 
 
 def per_text(rows: DataFrame, keys: list[str], text: list[str], work: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
-    """(keys, schema): the rows that ``work(*text columns)`` gives for each row with a text; a batch of texts at a time."""
+    """(keys, schema): the rows that ``work(*text columns)`` gives for each row with a text; one text and a bounded piece of what it gives at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     made = _parse_datatype_string(schema)
@@ -43,19 +45,33 @@ def per_text(rows: DataFrame, keys: list[str], text: list[str], work: Callable[.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, made_rows = [], []
-            for i, args in enumerate(zip(*(b.column(len(keys) + c).to_pylist() for c in range(len(text))))):
-                if args[0] is not None:
-                    for r in work(*args):
-                        at.append(i)
-                        made_rows.append(r)
-            kept = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
-            cells = list(zip(*made_rows)) if made_rows else [[] for _ in made]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(cells, list(arrow)[len(keys):]))], schema=arrow)
+            yield from _pieces(b, len(keys), work, arrow)
 
     return own.mapInArrow(run, out)
 
 
+def _pieces(b: pa.RecordBatch, keys: int, work: Callable[..., Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What ``work`` gives for the texts behind the first ``keys`` columns, handed on before it is more than ROWS_AT_ONCE rows or much more than CHARS_AT_ONCE characters."""
+    def piece() -> pa.RecordBatch:
+        kept = [b.column(k).take(pa.array(at, pa.int64())) for k in range(keys)]
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(zip(*made), list(schema)[keys:]))], schema=schema)
+
+    at, made, held = [], [], 0
+    for i in range(b.num_rows):
+        args = [c[i].as_py() for c in b.columns[keys:]]
+        if args[0] is None:
+            continue
+        for r in work(*args):
+            at.append(i)
+            made.append(r)
+            held += sum(len(x) for x in r if isinstance(x, str))
+            if len(at) >= ROWS_AT_ONCE or held >= CHARS_AT_ONCE:
+                yield piece()
+                at, made, held = [], [], 0
+    if at:
+        yield piece()
+
+
 def _fence_end(lines: list[str], i: int) -> int | None:
     opened = FENCE.match(lines[i])
     if not opened:
