@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 #: Terms are ASCII words, digit runs and runs of Han characters.
 TERM = "([a-z][a-z0-9_.-]*|[0-9]+|[㐀-鿿]+)"
@@ -77,20 +78,63 @@ def hex_bucket(text: Column, buckets: int) -> Column:
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("long") % buckets
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def _hash_vector(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _bucket_counts("".join(t.split()) if t else ""))
-
-
-def _bucket_counts(bare: str, buckets: int = 512) -> np.ndarray:
-    counts: Counter = Counter()
+BUCKETS = 512
+#: Characters of texts that are counted at once, and different characters whose runs are looked up in a table; runs with others go through ``_bucket_of``.
+CHARS_AT_ONCE, ALPHABET = 1_000_000, 160
+
+
+class _Grams:
+    """Buckets of runs of one to three characters, found out once for each run and Python worker."""
+
+    def __init__(self) -> None:
+        self.known = np.full(0x110000, -1, np.int64)  # place of a character in the alphabet
+        self.letters = np.zeros(0, np.int64)
+        self.tables = [np.full(ALPHABET**width, -1, np.int16) for width in (1, 2, 3)]
+
+    def learn(self, points: np.ndarray) -> None:
+        new = np.flatnonzero(np.bincount(points[self.known[points] < 0]))[: ALPHABET - len(self.letters)]
+        self.known[new] = len(self.letters) + np.arange(len(new))
+        self.letters = np.concatenate([self.letters, new])
+
+    def buckets(self, points: np.ndarray, width: int) -> np.ndarray:
+        """The bucket of the run that begins at each place but the last ``width`` - 1."""
+        n, table = len(points) - width + 1, self.tables[width - 1]
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        places = self.known[points]
+        code, inside = np.zeros(n, np.int64), np.ones(n, bool)
+        for i in range(width):
+            code = code * ALPHABET + places[i:i + n]
+            inside &= places[i:i + n] >= 0
+        code[~inside] = 0
+        lacking = np.flatnonzero(inside & (table[code] < 0))
+        for c, at in zip(*np.unique(code[lacking], return_index=True)):
+            start = lacking[at]
+            table[c] = _bucket_of("".join(map(chr, points[start:start + width].tolist()))) % BUCKETS
+        found = table[code].astype(np.int64)
+        for at in np.flatnonzero(~inside).tolist():
+            found[at] = _bucket_of("".join(map(chr, points[at:at + width].tolist()))) % BUCKETS
+        return found
+
+
+_GRAMS: list[_Grams] = []
+
+
+def _bucket_counts(bare: list[str]) -> np.ndarray:
+    """Vectors of texts without white space, a row each."""
+    if not _GRAMS:
+        _GRAMS.append(_Grams())
+    points = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    _GRAMS[0].learn(points)
+    of = np.repeat(np.arange(len(bare)), [len(t) for t in bare])
+    counts = np.zeros(len(bare) * BUCKETS)
     for width in (1, 2, 3):
-        counts.update(bare[i:i + width] for i in range(len(bare) - width + 1))
-    vector = np.zeros(buckets)
-    for gram, n in counts.items():
-        vector[_bucket_of(gram) % buckets] += n
-    norm = np.sqrt(vector @ vector)
-    return (vector / norm if norm else vector).astype(np.float32)
+        n = max(len(points) - width + 1, 0)
+        whole = of[:n] == of[width - 1:]  # runs do not cross from a text into the next
+        counts += np.bincount((of[:n] * BUCKETS + _GRAMS[0].buckets(points, width))[whole], minlength=len(counts))
+    vectors = counts.reshape(len(bare), BUCKETS)
+    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
 
 
 @lru_cache(maxsize=200_000)
@@ -98,6 +142,40 @@ def _bucket_of(gram: str) -> int:
     return int.from_bytes(hashlib.sha256(gram.encode("utf-8", "surrogatepass")).digest()[:4], "big")
 
 
+@F.arrow_udf(ArrayType(FloatType()))
+def _hash_vector(texts: pa.Array) -> pa.Array:
+    flat, bare, held = [], [], 0
+
+    def count() -> None:
+        nonlocal bare, held
+        flat.append(_bucket_counts(bare).reshape(-1))
+        bare, held = [], 0
+
+    for text in texts:
+        bare.append("".join((text.as_py() or "").split()))
+        held += len(bare[-1])
+        if held >= CHARS_AT_ONCE or len(bare) >= 2_000:
+            count()
+    if bare:
+        count()
+    values = np.concatenate(flat) if flat else np.zeros(0, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BUCKETS, dtype=np.int32)), pa.array(values))
+
+
 def hash_vector(text: Column) -> Column:
     """Unit vector of 512 buckets of the text's runs of one to three characters, folded and without white space; of zeros if there are none."""
     return _hash_vector(folded(text))
+
+
+@F.arrow_udf(DoubleType())
+def norm(vectors: pa.Array) -> pa.Array:
+    """Length of each vector, in doubles; null for null, not a number if an entry is null."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    squares = values * values
+    sums = np.zeros(len(sizes))
+    there = sizes > 0
+    if there.any():
+        sums[there] = np.add.reduceat(squares, ends[:-1][there])
+    return pc.if_else(pc.is_valid(vectors), pa.array(np.sqrt(sums)), None)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.functions.chunking import cut
-from lexarium.functions.text import hash_vector
+from lexarium.functions.text import hash_vector, norm
 
 ROWS_A_FILE = 50_000
 #: SHA-256 of no bytes. Spark's readers do not show empty files: a listed source of no bytes counts as there, and has no chunks.
@@ -140,8 +140,8 @@ def load(spark: SparkSession, root: str, policy: str = "default") -> Index:
 
 def check(chunks: DataFrame, vectors: DataFrame, manifest: dict) -> None:
     """Counts, ids, dimensions and norms."""
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    made = vectors.select("chunk_id", (F.size("vector") == manifest["dimensions"]).alias("sized"), (F.abs(norm - 1) <= 1e-4).alias("unit"), (norm == 0).alias("zero"))
+    made = vectors.select("chunk_id", (F.size("vector") == manifest["dimensions"]).alias("sized"), norm("vector").alias("norm"))
+    made = made.select("chunk_id", "sized", (F.abs(F.col("norm") - 1) <= 1e-4).alias("unit"), (F.col("norm") == 0).alias("zero"))
     met = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.max(F.trim("content") == "").alias("blank")).join(made, "chunk_id", "full")
     seen = met.agg(
         F.sum("n").alias("chunks"), F.count("sized").alias("vectors"), F.count_if((F.col("n") > 1) | F.col("chunk_id").isNull()).alias("repeated ids"),
