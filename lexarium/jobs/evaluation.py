@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lexarium.jobs.registry import query
 from lexarium.operators import evaluation as e
-from lexarium.sources.tables import table
+from lexarium.sources.tables import dealt, table
 
 HITS_SQL = """raw AS (SELECT l_orderkey AS case_id, l_suppkey AS doc, l_discount AS score, l_returnflag AS flag, l_linestatus AS version, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem),
 pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, doc ORDER BY rank) AS d FROM raw WHERE score > 0) WHERE d = 1),
@@ -78,7 +78,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_discount").alias("score"), F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"))
     # one shuffle by case serves all of these windows
     h = (
-        h.withColumn("rank", F.row_number().over(by_case.orderBy(F.desc("score"), "page")))
+        dealt(h, "case_id").withColumn("rank", F.row_number().over(by_case.orderBy(F.desc("score"), "page")))
         .withColumn("same", F.count("*").over(Window.partitionBy("case_id", "doc")))
         .withColumn("nxt", F.lead("page").over(Window.partitionBy("case_id", "doc").orderBy("page")))
     )

@@ -16,6 +16,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a scan by key, in eight tasks for each task of the scan (at least one a core): what a task sorts does not grow with the table."""
+    n = max(8 * rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 def chunks(documents: DataFrame) -> DataFrame:
     """Non-blank lines: (chunk_id, doc_id, lang, source, n, content); n counts all lines from 1."""
     return (
