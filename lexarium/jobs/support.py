@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lexarium.functions.text import latin_terms
 from lexarium.jobs.evidence import TERMS_SQL
 from lexarium.jobs.registry import query
-from lexarium.sources.tables import table
+from lexarium.sources.tables import dealt, table
 
 OPENINGS_SQL = f"o AS (SELECT conv_id, list_distinct({TERMS_SQL.format('text')}) AS asked FROM conversations WHERE turn = 0)"
 
@@ -161,7 +161,7 @@ def u28_order_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     order from outside. All windows share one partitioning.
     """
     own = Window.partitionBy("l_orderkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.count("*").over(own).alias("n"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey").select("*", F.count("*").over(own).alias("n"))
     given = lines.withColumn("given", F.col("l_partkey") % F.col("n") + 1)
     # ranks lie in 1..n, so n distinct ones name each place once
     first = F.when(F.row_number().over(Window.partitionBy("l_orderkey", "given").orderBy("l_linenumber")) == 1, 1)
