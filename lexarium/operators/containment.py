@@ -74,7 +74,8 @@ def with_held(rows: DataFrame, text: str, wanted: list[str], name: str, lower: b
             machine.make_automaton()
         for b in batches:
             out = []
-            for t in b.column(names.index(text)).to_pylist():
+            for cell in b.column(names.index(text)):
+                t = cell.as_py()
                 t = t.lower() if lower and t else t
                 found = sorted({i for _, i in machine.iter(t)}) if t and len(machine) else []
                 out.append(None if t is None else always + [shared.value[i] for i in found])

@@ -23,7 +23,9 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 #: (query, term) rows that every task gets at once.
 BLOCK_TERMS = 200_000
 #: Scores, and contributions to scores, that a task makes at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
+#: Rows of a batch that a task looks through at once.
+ROWS_AT_ONCE = 1_000
 _NULL = -(1 << 63)
 
 
@@ -120,7 +122,8 @@ def _pass(found: DataFrame, block: Block, key: str, query: StructField, k: int |
         own = shared.value
         task = _Task(own, k, key, carry)
         for b in batches:
-            yield from task.add(b, formula, fields, arrow)
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                yield from task.add(b.slice(lo, ROWS_AT_ONCE), formula, fields, arrow)
         yield from task.rest(arrow)
 
     return found.select(*names).mapInArrow(run, schema)
