@@ -52,7 +52,7 @@ def s06_validate_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk of a loaded index: characters without white space, and buckets of single characters, all of which its vector must hold."""
     index = artifact.load(spark, _index(spark, sf_dir))
     bare = F.regexp_replace(F.replace(F.lower("content"), F.lit("ß"), F.lit("ss")), "\\s", "")
-    bucket = F.transform(F.filter(F.split("bare", ""), lambda g: g != ""), lambda g: F.conv(F.substring(F.sha2(g.cast("binary"), 256), 1, 8), 16, 10).cast("long") % 512)
+    bucket = F.transform(F.filter(F.array_distinct(F.split("bare", "")), lambda g: g != ""), lambda g: F.conv(F.substring(F.sha2(g.cast("binary"), 256), 1, 8), 16, 10).cast("long") % 512)
     rows = index.chunks.join(index.vectors, "chunk_id").withColumn("bare", bare).withColumn("buckets", F.array_distinct(bucket))
     held = F.size(F.filter("buckets", lambda b: F.element_at("vector", (b + 1).cast("int")) > 0))
     return rows.select("chunk_id", F.length("bare").alias("chars"), held.alias("letters"))
