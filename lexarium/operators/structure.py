@@ -10,7 +10,10 @@ from __future__ import annotations
 import ast
 import html
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,10 @@ KEY = re.compile(r"^([A-Za-z_][\w.-]*):")
 WHOLE = re.compile(r"<tr\b[^>]*>.*?</tr>|```[^\n]*\n.*?```|^[ \t]*\|[^\n]+\|[ \t]*$", re.S | re.I | re.M)
 HEADER_ROW = re.compile(r"<tr\b[^>]*>.*?<th\b.*?</tr>", re.S | re.I)
 
+LETTERS = frozenset(string.ascii_letters)
+#: Characters of a text that are encoded at once.
+BLOCK = 8_192
+
 #: Characters that packed prose may have, that a table row or fence may have as one view, and that evidence may have.
 SOFT, LARGEST_UNIT, EVIDENCE = 1800, 6000, 6000
 #: Rows, and characters of them, that a task holds before it hands them on.
@@ -273,27 +280,49 @@ def structure_views(chunks: DataFrame, keys: list[str], title: str, heading: str
     return per_text(chunks, keys, [text, title, heading, first_line], views, VIEW)
 
 
+class _Sizes(dict):
+    """Bytes of each token, found out when it is first seen."""
+
+    def __init__(self, token_bytes: Callable[[int], bytes]):
+        super().__init__()
+        self.token_bytes = token_bytes
+
+    def __missing__(self, token: int) -> int:
+        self[token] = len(self.token_bytes(token))
+        return self[token]
+
+
 class Budget:
-    """Windows of a text within a number of tokens, its context included."""
+    """Windows of a text within a number of tokens, its context included.
+
+    With ``parts``, no match of the vocabulary's pattern reaches over a blank behind a letter of ASCII: what stands before has the
+    same tokens whatever follows, and what follows the same whatever stands before. Then a text is encoded once (see ``_Read``).
+    """
 
-    def __init__(self, encode: Callable[[str], list[int]], token_bytes: Callable[[int], bytes], most: int):
+    def __init__(self, encode: Callable[[str], list[int]], token_bytes: Callable[[int], bytes], most: int, parts: bool = False):
         if most < 16:
             raise ValueError("a budget below 16 tokens")
-        self.encode, self.token_bytes, self.most = encode, token_bytes, most
+        self.encode, self.most, self.parts = encode, most, parts
+        self.sizes = _Sizes(token_bytes)
+        self.contexts: dict[str, str] = {}
 
     def count(self, text: str) -> int:
         return len(self.encode(text))
 
     def trimmed(self, context: str) -> str:
         """The longest beginning of at most a quarter of the budget."""
+        if context in self.contexts:
+            return self.contexts[context]
         lo, hi = 0, len(context)
         while lo < hi:
             mid = (lo + hi + 1) // 2
             lo, hi = (mid, hi) if self.count(context[:mid] + "\n") <= self.most // 4 else (lo, mid - 1)
+        if len(self.contexts) < 1_000:
+            self.contexts[context] = context[:lo]
         return context[:lo]
 
-    def end(self, prefix: str, text: str, lo: int) -> int:
-        """The furthest end of a window from ``lo``: a guess from whole tokens, moved until one character more is too many."""
+    def window(self, prefix: str, text: str, lo: int) -> tuple[int, int]:
+        """(end, tokens) of the window from ``lo``: the furthest end, a guess from whole tokens moved until one character more is too many, put back to a line end if there is one."""
         reach = 8 * self.most
         while True:
             ahead = text[lo:lo + reach]
@@ -302,26 +331,89 @@ class Budget:
                 break
             reach *= 2
         if len(tokens) <= self.most:
-            return len(text)
-        size = sum(len(self.token_bytes(t)) for t in tokens[: self.most]) - len(prefix.encode("utf-8", "surrogatepass"))
+            return len(text), len(tokens)
+        size = sum(map(self.sizes.__getitem__, tokens[: self.most])) - len(prefix.encode("utf-8", "surrogatepass"))
         guess = len(ahead.encode("utf-8", "surrogatepass")[: max(size, 0)].decode("utf-8", "ignore"))
-        while guess and self.count(prefix + ahead[:guess]) > self.most:
-            guess -= 1
-        while guess < len(ahead) and self.count(prefix + ahead[:guess + 1]) <= self.most:
-            guess += 1
-        if not guess:
+        return self.settle(text, lo, lo + guess, lambda end: self.count(prefix + text[lo:end]))
+
+    def settle(self, text: str, lo: int, hi: int, count: Callable[[int], int]) -> tuple[int, int]:
+        while hi > lo and count(hi) > self.most:
+            hi -= 1
+        while hi < len(text) and count(hi + 1) <= self.most:
+            hi += 1
+        if hi == lo:
             raise ValueError("one character exceeds the token budget")
-        return lo + guess
+        end = cut_at_newline(text, lo, hi)
+        return end, count(end)
 
     def windows(self, content: str, title: str | None, heading: str | None, first: int) -> Iterator[tuple]:
         context = self.trimmed(context_of(title, heading, content))
         prefix = context + "\n" if context else ""
-        lo = 0
+        read = _Read(self, content) if self.parts else None
+        lo, line = 0, first
         while lo < len(content):
-            hi = cut_at_newline(content, lo, self.end(prefix, content, lo))
-            said = prefix + content[lo:hi]
-            yield _view(content, first, lo, hi, context, said, self.count(said))
-            lo = hi
+            hi, tokens = (read.window(prefix, lo) if read else None) or self.window(prefix, content, lo)
+            last = line + content.count("\n", lo, hi - 1)
+            yield lo, hi, line, last, len(context), tokens, content[lo:hi], prefix + content[lo:hi]
+            lo, line = hi, last + (content[hi - 1] == "\n")
+
+
+class _Read:
+    """A text that is encoded once, a block at a time, from one blank behind a letter to another; a window's own encoding is that of its first and last words."""
+
+    def __init__(self, budget: Budget, text: str):
+        self.budget, self.text = budget, text
+        self.at = self.stop = 0
+        self.ends: list[int] = []  # bytes from ``at`` to behind each token
+
+    def first_cut(self, lo: int, hi: int) -> int:
+        at = lo
+        while (at := self.text.find(" ", at + 1, hi)) > 0:
+            if self.text[at - 1] in LETTERS:
+                return at
+        return -1
+
+    def last_cut(self, lo: int, hi: int) -> int:
+        at = hi
+        while (at := self.text.rfind(" ", lo, at)) > 0:
+            if self.text[at - 1] in LETTERS:
+                return at
+        return -1
+
+    def read(self, at: int) -> None:
+        """The block from a cut."""
+        stop = at + BLOCK
+        stop = len(self.text) if stop >= len(self.text) else max(self.last_cut(at, stop), at)
+        self.at, self.stop, self.raw = at, stop, self.text[at:stop].encode("utf-8", "surrogatepass")
+        self.ends = list(accumulate(map(self.budget.sizes.__getitem__, self.budget.encode(self.text[at:stop]))))
+
+    def tokens_to(self, place: int) -> int:
+        """Tokens of the block before a cut."""
+        size = place - self.at if len(self.raw) == self.stop - self.at else len(self.text[self.at:place].encode("utf-8", "surrogatepass"))
+        return bisect_right(self.ends, size)
+
+    def window(self, prefix: str, lo: int) -> tuple[int, int] | None:
+        """What ``Budget.window`` gives; None where there is no cut near, or no end within a block."""
+        text, most = self.text, self.budget.most
+        start = self.first_cut(lo, lo + most)
+        if start < 0:
+            return None
+        head = self.budget.count(prefix + text[lo:start])
+        if head >= most:
+            return None
+        if not (self.at <= start < self.stop and (self.stop == len(text) or head + len(self.ends) - self.tokens_to(start) > most)):
+            self.read(start)
+        before = head - self.tokens_to(start)  # what the window has more than the block up to the same place
+        if before + len(self.ends) <= most:
+            return (len(text), before + len(self.ends)) if self.stop == len(text) else None
+        size = self.ends[most - before - 1]
+        guess = self.at + (size if len(self.raw) == self.stop - self.at else len(self.raw[:size].decode("utf-8", "ignore")))
+
+        def count(end: int) -> int:
+            cut = self.last_cut(start, min(end, self.stop))
+            return self.budget.count(prefix + text[lo:end]) if cut < 0 else before + self.tokens_to(cut) + self.budget.count(text[cut:end])
+
+        return self.budget.settle(text, lo, guess, count)
 
 
 _BUDGETS: dict[tuple, Budget] = {}
@@ -333,12 +425,13 @@ def budget_of(vocabulary: str, pattern: str, most: int) -> Budget:
     if key not in _BUDGETS:
         import base64
 
+        import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _BUDGETS[key] = Budget(own.encode_ordinary, own.decode_single_token_bytes, most)
+        _BUDGETS[key] = Budget(own.encode_ordinary, own.decode_single_token_bytes, most, pattern == public_tokenizers.PATTERN)
     return _BUDGETS[key]
 
 
