@@ -10,18 +10,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StringType
 
 #: Terms are ASCII words, digit runs and runs of Han characters.
 TERM = "([a-z][a-z0-9_.-]*|[0-9]+|[㐀-鿿]+)"
 
 
+def _fold(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
+
+
 @F.pandas_udf(StringType())
 def casefolded(texts: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark lacks; ``lower`` differs for letters such as sharp s."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+    return texts.map(lambda t: None if t is None else _fold(t))
 
 
 def folded(text: Column) -> Column:
@@ -152,7 +156,7 @@ def _hash_vector(texts: pa.Array) -> pa.Array:
         bare, held = [], 0
 
     for text in texts:
-        bare.append("".join((text.as_py() or "").split()))
+        bare.append("".join(_fold(text.as_py() or "").split()))
         held += len(bare[-1])
         if held >= CHARS_AT_ONCE or len(bare) >= 2_000:
             count()
@@ -164,18 +168,49 @@ def _hash_vector(texts: pa.Array) -> pa.Array:
 
 def hash_vector(text: Column) -> Column:
     """Unit vector of 512 buckets of the text's runs of one to three characters, folded and without white space; of zeros if there are none."""
-    return _hash_vector(folded(text))
+    return _hash_vector(text)
+
+
+def _entries(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of all vectors that aren't null, and how many each vector has; null entries are not a number."""
+    if pa.types.is_binary(vectors.type):
+        return np.frombuffer(b"".join(vectors.drop_null().to_pylist()), np.float32), pc.fill_null(pc.binary_length(vectors), 0).to_numpy() // 4
+    return vectors.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+@F.arrow_udf(BinaryType())
+def packed(vectors: pa.Array) -> pa.Array:
+    """Each vector as the bytes of its 32-bit floats: one value to a file or a shuffle, not one for each entry."""
+    values, sizes = _entries(vectors)
+    made = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(_starts(4 * sizes)), pa.py_buffer(np.ascontiguousarray(values, np.float32))])
+    return pc.if_else(pc.is_valid(vectors), made, pa.scalar(None, pa.binary()))
+
+
+@F.arrow_udf(ArrayType(FloatType()))
+def unpacked(stored: pa.Array) -> pa.Array:
+    """The vectors behind ``packed`` ones."""
+    values, sizes = _entries(stored)
+    return pa.ListArray.from_arrays(pa.array(_starts(sizes)), pa.array(values), mask=pc.is_null(stored))
+
+
+def dimensions(vectors: DataFrame, name: str = "vector") -> Column:
+    """How many entries each vector has, be it an array or packed."""
+    return (F.octet_length(name) / 4).cast("int") if vectors.schema[name].dataType == BinaryType() else F.size(name)
 
 
 @F.arrow_udf(DoubleType())
 def norm(vectors: pa.Array) -> pa.Array:
-    """Length of each vector, in doubles; null for null, not a number if an entry is null."""
-    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    squares = values * values
-    sums = np.zeros(len(sizes))
+    """Length of each vector, an array or packed, in doubles; null for null, not a number if an entry is null."""
+    values, sizes = _entries(vectors)
     there = sizes > 0
-    if there.any():
-        sums[there] = np.add.reduceat(squares, ends[:-1][there])
+    sums = np.zeros(len(sizes))
+    if there.all() and len(set(sizes.tolist())) == 1:
+        table = values.reshape(len(sizes), -1)
+        sums = np.einsum("ij,ij->i", table, table, dtype=np.float64)
+    elif there.any():
+        sums[there] = np.add.reduceat(np.square(values, dtype=np.float64), _starts(sizes)[:-1][there])
     return pc.if_else(pc.is_valid(vectors), pa.array(np.sqrt(sums)), None)

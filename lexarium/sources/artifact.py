@@ -4,10 +4,11 @@ A build reads the sources, refuses them as a whole if any is missing, unlisted,
 repeated or changed, cuts them into chunks, makes a vector of each, and writes
 
     chunks/    (source_id, chunk_id, part, headings, content, metadata of the source)
-    vectors/   (chunk_id, vector)
+    vectors/   (chunk_id, vector: the bytes of its 32-bit floats)
     manifest/  what was written: each file with its length and SHA-256, and the counts
 
-The manifest is written last: a folder without one is no artifact. Files are
+The manifest is written last, when what was written has passed the checks of a
+load: a folder without one is no artifact. Files are
 hashed where Spark reads them, a file in a task; ``ROWS_A_FILE`` bounds their size.
 """
 
@@ -21,13 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.functions.chunking import cut
-from lexarium.functions.text import hash_vector, norm
+from lexarium.functions.text import dimensions, hash_vector, norm, packed, unpacked
 
 ROWS_A_FILE = 50_000
 #: SHA-256 of no bytes. Spark's readers do not show empty files: a listed source of no bytes counts as there, and has no chunks.
 NOTHING = hashlib.sha256(b"").hexdigest()
 DIMENSIONS = 512
-FORMAT = 1
+FORMAT = 2
+ABOUT = "format int, status string, policy string, chunks long, sources long, vectors long, dimensions int"
 
 
 class ArtifactError(ValueError):
@@ -36,12 +38,16 @@ class ArtifactError(ValueError):
 
 @dataclass
 class Index:
-    """A loaded artifact."""
+    """A loaded artifact; ``stored`` are its vectors as they stand in the files."""
 
     chunks: DataFrame
-    vectors: DataFrame
+    stored: DataFrame
     manifest: dict
 
+    @property
+    def vectors(self) -> DataFrame:
+        return self.stored.select("chunk_id", unpacked("vector").alias("vector"))
+
 
 def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(path below ``root``, length, sha256[, content]) of all files that Spark takes for data."""
@@ -101,7 +107,7 @@ def build(sources: DataFrame, root: str, cutter: Callable[[DataFrame], DataFrame
     chunks.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{root}/chunks")
     said = F.concat_ws(" ", F.try_element_at("headings", F.lit(-1)) if "headings" in chunks.columns else F.lit(None).cast("string"), "content")
     written = spark.read.parquet(f"{root}/chunks")
-    written.select("chunk_id", encode(said).alias("vector")).write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{root}/vectors")
+    written.select("chunk_id", packed(encode(said)).alias("vector")).write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{root}/vectors")
     return commit(spark, root, policy)
 
 
@@ -109,11 +115,14 @@ def commit(spark: SparkSession, root: str, policy: str) -> dict:
     listed = files(spark, f"{root}/chunks").select(F.concat(F.lit("chunks/"), "path").alias("path"), "length", "sha256").union(
         files(spark, f"{root}/vectors").select(F.concat(F.lit("vectors/"), "path"), "length", "sha256"))
     counts = spark.read.parquet(f"{root}/chunks").agg(F.count("*").alias("chunks"), F.count_distinct("source_id").alias("sources"))
-    size = spark.read.parquet(f"{root}/vectors").agg(F.count("*").alias("vectors"), F.max(F.size("vector")).alias("dimensions"))
+    vectors = spark.read.parquet(f"{root}/vectors")
+    size = vectors.agg(F.count("*").alias("vectors"), F.max(dimensions(vectors)).alias("dimensions"))
     about = counts.crossJoin(size).select(F.lit(FORMAT).alias("format"), F.lit("COMPLETE").alias("status"), F.lit(policy).alias("policy"), "*")  # one row each
     listed.write.parquet(f"{root}/manifest/files")
-    about.coalesce(1).write.json(f"{root}/manifest/about")  # last
-    return load(spark, root, policy).manifest
+    manifest = about.first().asDict()
+    check(spark.read.parquet(f"{root}/chunks"), vectors, manifest)
+    spark.createDataFrame([manifest], ABOUT).coalesce(1).write.json(f"{root}/manifest/about")  # last
+    return manifest
 
 
 def load(spark: SparkSession, root: str, policy: str = "default") -> Index:
@@ -121,7 +130,7 @@ def load(spark: SparkSession, root: str, policy: str = "default") -> Index:
     from pyspark.errors import AnalysisException
 
     try:
-        about = spark.read.schema("format int, status string, policy string, chunks long, sources long, vectors long, dimensions int").json(f"{root}/manifest/about").collect()
+        about = spark.read.schema(ABOUT).json(f"{root}/manifest/about").collect()
     except AnalysisException as e:
         raise ArtifactError(f"no complete artifact in {root}") from e
     if len(about) != 1 or about[0]["status"] != "COMPLETE" or about[0]["format"] != FORMAT:
@@ -140,7 +149,7 @@ def load(spark: SparkSession, root: str, policy: str = "default") -> Index:
 
 def check(chunks: DataFrame, vectors: DataFrame, manifest: dict) -> None:
     """Counts, ids, dimensions and norms."""
-    made = vectors.select("chunk_id", (F.size("vector") == manifest["dimensions"]).alias("sized"), norm("vector").alias("norm"))
+    made = vectors.select("chunk_id", (dimensions(vectors) == manifest["dimensions"]).alias("sized"), norm("vector").alias("norm"))
     made = made.select("chunk_id", "sized", (F.abs(F.col("norm") - 1) <= 1e-4).alias("unit"), (F.col("norm") == 0).alias("zero"))
     met = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.max(F.trim("content") == "").alias("blank")).join(made, "chunk_id", "full")
     seen = met.agg(
@@ -156,7 +165,7 @@ def check(chunks: DataFrame, vectors: DataFrame, manifest: dict) -> None:
 def stage(source: str, releases: str, spark: SparkSession, policy: str = "default") -> str:
     """Copy a valid artifact to a place below ``releases`` that its content names; returns the name. An existing release is only checked."""
     index = load(spark, source, policy)
-    parts = [d.select(F.xxhash64(*d.columns).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s")).first() for d in (index.chunks, index.vectors)]
+    parts = [d.select(F.xxhash64(*d.columns).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s")).first() for d in (index.chunks, index.stored)]
     name = "-".join(f"{p['n']:x}.{(p['x'] or 0) & (1 << 64) - 1:016x}.{p['s'] or 0:x}" for p in parts)
     target = f"{releases.rstrip('/')}/{name}"
     try:
@@ -165,7 +174,7 @@ def stage(source: str, releases: str, spark: SparkSession, policy: str = "defaul
     except ArtifactError:
         pass
     index.chunks.write.option("maxRecordsPerFile", ROWS_A_FILE).mode("overwrite").parquet(f"{target}/chunks")  # what a failed copy left has no manifest
-    index.vectors.write.option("maxRecordsPerFile", ROWS_A_FILE).mode("overwrite").parquet(f"{target}/vectors")
+    index.stored.write.option("maxRecordsPerFile", ROWS_A_FILE).mode("overwrite").parquet(f"{target}/vectors")
     commit(spark, target, policy)
     return name
 
