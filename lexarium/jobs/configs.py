@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.functions.semistructured import count_or_null, fields, merged, sha256_or_null, strict_json
-from lexarium.functions.text import latin_terms
+from lexarium.functions.text import dimensions, latin_terms
 from lexarium.jobs.registry import query
 from lexarium.jobs.retrieval import TERM_SQL
 from lexarium.jobs.stores import shared
@@ -23,8 +23,8 @@ def s02_build_structural_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources, root = _markdown(spark, sf_dir).withColumnRenamed("doc_id", "source_id"), shared(spark, "structural")
     artifact.build(sources, root, lambda rows: structure.structural_chunks(rows, ["source_id"], "text"))
     index = artifact.load(spark, root)
-    return index.chunks.join(index.vectors, "chunk_id").groupBy("source_id").agg(
-        F.count("*").alias("chunks"), F.count_if(F.col("kind") == "code_fence").alias("fences"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("covered"), F.max(F.size("vector")).alias("dimensions"))
+    return index.chunks.join(index.stored.select("chunk_id", dimensions(index.stored).alias("dimensions")), "chunk_id").groupBy("source_id").agg(
+        F.count("*").alias("chunks"), F.count_if(F.col("kind") == "code_fence").alias("fences"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("covered"), F.max("dimensions").alias("dimensions"))
 
 
 #: Properties as they might arrive: a key twice in every 13th, an end cut off every 17th, forty lists around every 19th.
