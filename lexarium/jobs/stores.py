@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarium.functions.text import dimensions
 from lexarium.jobs.lifecycle import HASH_SQL
 from lexarium.jobs.registry import query
 from lexarium.operators.versions import REPORT, VersionStore
@@ -40,9 +41,9 @@ def _index(spark: SparkSession, sf_dir: str) -> str:
 def s01_build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of ``documents``, checked against a manifest, written, verified and read back: what it holds of each source."""
     index = artifact.load(spark, _index(spark, sf_dir))
-    both = index.chunks.join(index.vectors, "chunk_id")
+    both = index.chunks.join(index.stored.select("chunk_id", dimensions(index.stored).alias("dimensions")), "chunk_id")
     return both.groupBy("source_id", "lang", "source").agg(
-        F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"), F.min("part").alias("first"), F.max("part").alias("last"), F.max(F.size("vector")).alias("dimensions"))
+        F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"), F.min("part").alias("first"), F.max("part").alias("last"), F.max("dimensions").alias("dimensions"))
 
 
 @query("WITH " + CHUNKS_SQL + ", n AS (SELECT chunk_id, unnest(list_transform(generate_series(1, length(t)), lambda i: substr(t, i, 1))) AS g, length(t) AS len FROM (SELECT chunk_id, regexp_replace(replace(lower(content), 'ß', 'ss'), '\\s', '', 'g') AS t FROM chunks)),\n"
@@ -101,4 +102,4 @@ def u37_store_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a compacted store serves after two ingests: sections of active versions, each with its vector."""
     store, _, _ = _two_versions(spark, sf_dir)
     store.compact()
-    return store.index().groupBy("doc_id", "version_id").agg(F.count("*").alias("sections"), F.min_by("chunk_id", "position").alias("first_chunk"), F.count("vector").alias("vectors"))
+    return store.index(told=dimensions).groupBy("doc_id", "version_id").agg(F.count("*").alias("sections"), F.min_by("chunk_id", "position").alias("first_chunk"), F.count("vector").alias("vectors"))

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 
 def content_hash(content: Column) -> Column:
     """SHA-256 of the content with white space collapsed."""
-    return F.sha2(F.trim(F.regexp_replace(content, "[ \\t\\r\\n]+", " ")).cast("binary"), 256)
+    runs = F.contains(content, F.lit("  ")) | F.contains(content, F.lit("\t")) | F.contains(content, F.lit("\r")) | F.contains(content, F.lit("\n"))
+    collapsed = F.when(runs, F.regexp_replace(content, "[ \\t\\r\\n]+", " ")).otherwise(content)
+    return F.sha2(F.trim(collapsed).cast("binary"), 256)
 
 
 def in_scope(row_versions: Column, wanted: list[str] | None, active: Column | None = None, null_passes: bool = False) -> Column:
@@ -34,8 +36,13 @@ def duplicates(sections: DataFrame, *keys: str) -> DataFrame:
 
 def compare(old: DataFrame, new: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Every key of either side as ADDED, REMOVED, MODIFIED or UNCHANGED, by content hash."""
-    was = old.select(*keys, content_hash(F.col(content)).alias("old_hash"))
-    now = new.select(*keys, content_hash(F.col(content)).alias("new_hash"))
+    return compare_hashes(old, new, keys, content_hash(F.col(content)))
+
+
+def compare_hashes(old: DataFrame, new: DataFrame, keys: list[str], content_hash: Column) -> DataFrame:
+    """The same where both sides have, or make, a hash of the content."""
+    was = old.select(*keys, content_hash.alias("old_hash"))
+    now = new.select(*keys, content_hash.alias("new_hash"))
     change = (
         F.when(F.col("old_hash").isNull(), "ADDED").when(F.col("new_hash").isNull(), "REMOVED")
         .when(F.col("old_hash") != F.col("new_hash"), "MODIFIED").otherwise("UNCHANGED")

@@ -3,7 +3,7 @@
 Below the store's root, each table holds one folder a batch:
 
     sections/batch=<name>   (doc_id, version_id, position, key, content, content_hash, chunk_id)
-    vectors/batch=<name>    (content_hash, vector): one vector for each different content, ever
+    vectors/batch=<name>    (content_hash, vector: the bytes of its 32-bit floats): one vector for each different content, ever
     versions/batch=<name>   (doc_id, version_id, source_hash, activated)
     catalog/<number>        (number, table, batch): the batches that make up each table after so many commits
 
@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexarium.functions.text import hash_vector
+from lexarium.functions.text import dimensions, hash_vector, norm, packed, unpacked
 from lexarium.operators import lifecycle
 
 TABLES = {
     "sections": "doc_id long, version_id string, position int, key string, content string, content_hash string, chunk_id string",
-    "vectors": "content_hash string, vector array<float>",
+    "vectors": "content_hash string, vector binary",
     "versions": "doc_id long, version_id string, source_hash string, activated boolean",
 }
 CATALOG = "number long, table string, batch string"
@@ -86,10 +86,12 @@ class VersionStore:
         batches = batches or self.catalog()[1]
         return self.table("sections", batches).join(self.versions(batches).where("status = 'ACTIVE'").select("doc_id", "version_id"), ["doc_id", "version_id"], "left_semi")
 
-    def index(self, batches: dict[str, list[str]] | None = None) -> DataFrame:
-        """Active sections with their vectors."""
+    def index(self, batches: dict[str, list[str]] | None = None, told: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+        """Active sections with their vectors, or with what ``told`` says of the stored ones: then the vectors stay where they are read."""
         batches = batches or self.catalog()[1]
-        return self.active(batches).join(self.table("vectors", batches), "content_hash")
+        vectors = self.table("vectors", batches)
+        said = told(vectors) if told else unpacked("vector")
+        return self.active(batches).join(vectors.select("content_hash", said.alias("vector")), "content_hash")
 
     def ingest(self, sections: DataFrame, activate: bool = True, repeated: str = "refuse") -> DataFrame:
         """Add one version of each document in ``sections`` (doc_id, version_id, position, key, content); returns the report by document.
@@ -104,18 +106,19 @@ class VersionStore:
         rows = sections.select("doc_id", "version_id", F.col("position").cast("int").alias("position"), "key", "content", lifecycle.content_hash(F.col("content")).alias("content_hash"))
         chunk = F.concat(F.col("version_id"), F.lit(":chunk:"), F.substring(F.sha2("key", 256), 1, 16))
         rows = self._written("sections", name, rows.withColumn("chunk_id", chunk), "staged")
-        by_key = Window.partitionBy("doc_id", "key")
-        text = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "key", "content_hash"))), lambda s: F.concat_ws(" ", s["key"], s["content_hash"])), "\n"), 256)
-        documents = rows.withColumn("times", F.count("*").over(by_key)).groupBy("doc_id").agg(
-            F.first("version_id").alias("version_id"), F.count_distinct("version_id").alias("versions"), F.max("times").alias("times"), text.alias("source_hash"),
+        listed = F.array_sort(F.collect_list(F.struct("position", "key", "content_hash")))  # the sections of one document
+        text = F.sha2(F.array_join(F.transform("listed", lambda s: F.concat_ws(" ", s["key"], s["content_hash"])), "\n"), 256)
+        twice = F.size(F.array_distinct(F.transform("listed", lambda s: s["key"]))) < F.size("listed")
+        documents = rows.groupBy("doc_id").agg(
+            F.first("version_id").alias("version_id"), F.count_distinct("version_id").alias("versions"), listed.alias("listed"),
             F.count_if(F.expr("doc_id IS NULL OR version_id IS NULL OR position IS NULL OR key IS NULL OR content IS NULL")).alias("nulls"),
-        )
+        ).select("doc_id", "version_id", "versions", "nulls", twice.alias("twice"), text.alias("source_hash"))
         known = self.versions(batches)
         told = documents.join(known.select("version_id").distinct().withColumn("taken", F.lit(True)), "version_id", "left").join(
             known.select("doc_id", "source_hash").distinct().withColumn("seen", F.lit(True)), ["doc_id", "source_hash"], "left")
         told = self._written("versions", name, told, "staged")
         wrong = told.agg(
-            F.count("*").alias("documents"), F.count_if(F.col("nulls") > 0).alias("with nulls"), F.count_if(F.col("versions") > 1).alias("with two versions"), F.count_if(F.col("times") > 1).alias("with a key twice"),
+            F.count("*").alias("documents"), F.count_if(F.col("nulls") > 0).alias("with nulls"), F.count_if(F.col("versions") > 1).alias("with two versions"), F.count_if("twice").alias("with a key twice"),
             F.count_if("taken").alias("with a version id that exists"), F.count_if("seen").alias("ingested before"), (F.count("version_id") - F.count_distinct("version_id")).alias("that share a version id"),
         ).first().asDict()
         if not wrong.pop("documents"):
@@ -125,19 +128,20 @@ class VersionStore:
         if any(wrong.values()):
             raise IngestError("documents: " + ", ".join(f"{v} {k}" for k, v in wrong.items() if v))
         new = told.where("seen IS NULL").select("doc_id", "version_id", "source_hash")
-        rows = rows.join(new.select("doc_id"), "doc_id", "left_semi")
+        # what follows is in folders that no catalog names until the commit
+        rows = self._written("sections", name, rows.join(new.select("doc_id"), "doc_id", "left_semi"), "batch")
 
         first = F.row_number().over(Window.partitionBy("content_hash").orderBy("doc_id", "position", "key"))
-        lacking = rows.withColumn("k", first).where("k = 1").join(self.table("vectors", batches).select("content_hash"), "content_hash", "left_anti")
-        vectors = self._written("vectors", name, lacking.select("content_hash", self.encode(F.col("content")).alias("vector"), "doc_id"), "staged")
-        sizes = vectors.select("content_hash", F.size("vector").alias("d"), F.exists("vector", lambda x: x.isNull() | F.isnan(x)).alias("bad")).union(
-            self.table("vectors", batches).select("content_hash", F.size("vector"), F.lit(False)).limit(1))
+        held = self.table("vectors", batches)
+        lacking = rows.join(held.select("content_hash"), "content_hash", "left_anti").withColumn("k", first).where("k = 1")
+        vectors = self._written("vectors", name, lacking.select("content_hash", packed(self.encode(F.col("content"))).alias("vector"), "doc_id"), "batch")
+        sizes = vectors.select(dimensions(vectors).alias("d"), F.isnan(norm("vector")).alias("bad")).union(held.select(dimensions(held), F.lit(False)).limit(1))
         seen = sizes.agg(F.count_distinct("d").alias("sizes"), F.count_if(F.col("bad") | (F.col("d") <= 0)).alias("bad")).first()
         if seen["sizes"] > 1 or seen["bad"]:
             raise IngestError(f"vectors of {seen['sizes']} lengths, {seen['bad']} not finite")
 
         old = self.active(batches).join(new.select("doc_id"), "doc_id", "left_semi")
-        counts = lifecycle.change_counts(lifecycle.compare(old, rows, ["doc_id", "key"], "content"), "doc_id")
+        counts = lifecycle.change_counts(lifecycle.compare_hashes(old, rows, ["doc_id", "key"], F.col("content_hash")), "doc_id")
         totals = rows.groupBy("doc_id").agg(F.count("*").alias("total"))
         made = vectors.groupBy("doc_id").agg(F.count("*").alias("new_vectors"))
         report = new.join(totals, "doc_id").join(counts, "doc_id", "left").join(made, "doc_id", "left").select("*", F.coalesce("new_vectors", F.lit(0)).alias("n")).select(
@@ -145,8 +149,6 @@ class VersionStore:
         report.write.parquet(f"{self.root}/reports/batch={name}")
 
         self._written("versions", name, new.select("*", F.lit(activate).alias("activated")), "batch")
-        self._written("sections", name, rows, "batch")
-        self._written("vectors", name, vectors, "batch")
         self._commit(last + 1, {t: [*b, name] for t, b in batches.items()})
         return self.spark.read.parquet(f"{self.root}/reports/batch={name}").select(*REPORT)
 
