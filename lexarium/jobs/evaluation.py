@@ -74,18 +74,17 @@ def a04_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
-    by_case = Window.partitionBy("case_id")
     h = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_discount").alias("score"), F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"))
-    # one shuffle by case serves all of these windows
-    h = (
-        dealt(h, "case_id").withColumn("rank", F.row_number().over(by_case.orderBy(F.desc("score"), "page")))
-        .withColumn("same", F.count("*").over(Window.partitionBy("case_id", "doc")))
-        .withColumn("nxt", F.lead("page").over(Window.partitionBy("case_id", "doc").orderBy("page")))
-    )
+    # one shuffle by case serves both sorts, and one sort all that is told of a document
+    ranked = Window.partitionBy("case_id").orderBy(F.desc("score"), "page")
+    pages = Window.partitionBy("case_id", "doc").orderBy("page")
+    h = dealt(h, "case_id").select(
+        "*", F.row_number().over(pages).alias("nth"), F.lead("page").over(pages).alias("nxt"), F.count("*").over(pages.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("same"),
+    ).withColumn("rank", F.row_number().over(ranked))
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
     return h.groupBy("case_id").agg(
         F.count("*").alias("n"), at(1).alias("top1"), F.round(at(1) - at(2), 6).alias("margin"), F.round(F.avg(F.when(F.col("rank") <= 3, F.col("score"))), 6).alias("top3_mean"),
-        F.countDistinct("doc").alias("docs"), F.round(F.max("same") / F.count("*"), 6).alias("dominant_ratio"), F.count_if(F.col("nxt") - F.col("page") == 1).alias("adjacent"),
+        F.count_if((F.col("nth") == 1) & F.col("doc").isNotNull()).alias("docs"), F.round(F.max("same") / F.count("*"), 6).alias("dominant_ratio"), F.count_if(F.col("nxt") - F.col("page") == 1).alias("adjacent"),
     )
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a task has of a table that is dealt by key.
+ROWS_A_TASK = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,8 +20,8 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a scan by key, in eight tasks for each task of the scan (at least one a core): what a task sorts does not grow with the table."""
-    n = max(8 * rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
+    """Rows of a scan by key, about ROWS_A_TASK in a task (at least one task a core): what a task sorts does not grow with the table, however small its files are."""
+    n = max(-(-rows.count() // ROWS_A_TASK), rows.sparkSession.sparkContext.defaultParallelism)  # Parquet tells the count without its columns
     return rows.repartition(n, *keys)
 
 
