@@ -7,7 +7,6 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -22,10 +21,17 @@ def _fold(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
 
 
-@F.pandas_udf(StringType())
-def casefolded(texts: pd.Series) -> pd.Series:
+#: Texts of a batch that are held as Python's own at once.
+TEXTS_AT_ONCE = 200
+
+
+@F.arrow_udf(StringType())
+def casefolded(texts: pa.Array) -> pa.Array:
     """NFKC and case folding, which Spark lacks; ``lower`` differs for letters such as sharp s."""
-    return texts.map(lambda t: None if t is None else _fold(t))
+    def piece(own: pa.Array) -> pa.Array:
+        return pa.array((None if (t := x.as_py()) is None else _fold(t) for x in own), pa.string())
+
+    return pa.concat_arrays([piece(texts.slice(lo, TEXTS_AT_ONCE)) for lo in range(0, max(len(texts), 1), TEXTS_AT_ONCE)])
 
 
 def folded(text: Column) -> Column:
