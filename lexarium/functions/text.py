@@ -89,8 +89,8 @@ def hex_bucket(text: Column, buckets: int) -> Column:
 
 
 BUCKETS = 512
-#: Characters of texts that are counted at once, and different characters whose runs are looked up in a table; runs with others go through ``_bucket_of``.
-CHARS_AT_ONCE, ALPHABET = 1_000_000, 160
+#: Characters of texts that are counted at once (few enough for the caches of a core), and different characters whose runs are looked up in a table; runs with others go through ``_bucket_of``.
+CHARS_AT_ONCE, ALPHABET = 100_000, 160
 
 
 class _Grams:
@@ -136,13 +136,13 @@ def _bucket_counts(bare: list[str]) -> np.ndarray:
         _GRAMS.append(_Grams())
     points = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     _GRAMS[0].learn(points)
-    of = np.repeat(np.arange(len(bare)), [len(t) for t in bare])
-    counts = np.zeros(len(bare) * BUCKETS)
+    row = np.repeat(np.arange(0, len(bare) * BUCKETS, BUCKETS), np.fromiter(map(len, bare), np.int64, len(bare)))
+    cells = []
     for width in (1, 2, 3):
         n = max(len(points) - width + 1, 0)
-        whole = of[:n] == of[width - 1:]  # runs do not cross from a text into the next
-        counts += np.bincount((of[:n] * BUCKETS + _GRAMS[0].buckets(points, width))[whole], minlength=len(counts))
-    vectors = counts.reshape(len(bare), BUCKETS)
+        cell = row[:n] + _GRAMS[0].buckets(points, width)
+        cells.append(cell[row[:n] == row[width - 1:]] if width > 1 else cell)  # runs do not cross from a text into the next
+    vectors = np.bincount(np.concatenate(cells), minlength=len(bare) * BUCKETS).astype(np.float64).reshape(len(bare), BUCKETS)
     norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     return (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
 
@@ -164,7 +164,7 @@ def _hash_vector(texts: pa.Array) -> pa.Array:
     for text in texts:
         bare.append("".join(_fold(text.as_py() or "").split()))
         held += len(bare[-1])
-        if held >= CHARS_AT_ONCE or len(bare) >= 2_000:
+        if held >= CHARS_AT_ONCE or len(bare) >= TEXTS_AT_ONCE:
             count()
     if bare:
         count()

@@ -105,31 +105,31 @@ class VersionStore:
         name = f"{last + 1:09d}-{uuid.uuid4().hex[:12]}"
         rows = sections.select("doc_id", "version_id", F.col("position").cast("int").alias("position"), "key", "content", lifecycle.content_hash(F.col("content")).alias("content_hash"))
         chunk = F.concat(F.col("version_id"), F.lit(":chunk:"), F.substring(F.sha2("key", 256), 1, 16))
-        rows = self._written("sections", name, rows.withColumn("chunk_id", chunk), "staged")
+        rows = self._written("sections", name, rows.withColumn("chunk_id", chunk), "batch")  # no catalog names it before the commit
         listed = F.array_sort(F.collect_list(F.struct("position", "key", "content_hash")))  # the sections of one document
         text = F.sha2(F.array_join(F.transform("listed", lambda s: F.concat_ws(" ", s["key"], s["content_hash"])), "\n"), 256)
         twice = F.size(F.array_distinct(F.transform("listed", lambda s: s["key"]))) < F.size("listed")
         documents = rows.groupBy("doc_id").agg(
-            F.first("version_id").alias("version_id"), F.count_distinct("version_id").alias("versions"), listed.alias("listed"),
+            F.first("version_id").alias("version_id"), (F.min("version_id") < F.max("version_id")).alias("two"), listed.alias("listed"),
             F.count_if(F.expr("doc_id IS NULL OR version_id IS NULL OR position IS NULL OR key IS NULL OR content IS NULL")).alias("nulls"),
-        ).select("doc_id", "version_id", "versions", "nulls", twice.alias("twice"), text.alias("source_hash"))
+        ).select("doc_id", "version_id", "two", "nulls", twice.alias("twice"), text.alias("source_hash"))
         known = self.versions(batches)
         told = documents.join(known.select("version_id").distinct().withColumn("taken", F.lit(True)), "version_id", "left").join(
             known.select("doc_id", "source_hash").distinct().withColumn("seen", F.lit(True)), ["doc_id", "source_hash"], "left")
         told = self._written("versions", name, told, "staged")
         wrong = told.agg(
-            F.count("*").alias("documents"), F.count_if(F.col("nulls") > 0).alias("with nulls"), F.count_if(F.col("versions") > 1).alias("with two versions"), F.count_if("twice").alias("with a key twice"),
+            F.count("*").alias("documents"), F.count_if(F.col("nulls") > 0).alias("with nulls"), F.count_if("two").alias("with two versions"), F.count_if("twice").alias("with a key twice"),
             F.count_if("taken").alias("with a version id that exists"), F.count_if("seen").alias("ingested before"), (F.count("version_id") - F.count_distinct("version_id")).alias("that share a version id"),
         ).first().asDict()
         if not wrong.pop("documents"):
             raise IngestError("a batch must hold a section")
-        if repeated == "skip":
-            wrong.pop("ingested before")
+        left_out = wrong.pop("ingested before") if repeated == "skip" else 0
         if any(wrong.values()):
             raise IngestError("documents: " + ", ".join(f"{v} {k}" for k, v in wrong.items() if v))
         new = told.where("seen IS NULL").select("doc_id", "version_id", "source_hash")
-        # what follows is in folders that no catalog names until the commit
-        rows = self._written("sections", name, rows.join(new.select("doc_id"), "doc_id", "left_semi"), "batch")
+        kept = f"{name}-new" if left_out else name
+        if left_out:
+            rows = self._written("sections", kept, rows.join(new.select("doc_id"), "doc_id", "left_semi"), "batch")
 
         first = F.row_number().over(Window.partitionBy("content_hash").orderBy("doc_id", "position", "key"))
         held = self.table("vectors", batches)
@@ -149,7 +149,7 @@ class VersionStore:
         report.write.parquet(f"{self.root}/reports/batch={name}")
 
         self._written("versions", name, new.select("*", F.lit(activate).alias("activated")), "batch")
-        self._commit(last + 1, {t: [*b, name] for t, b in batches.items()})
+        self._commit(last + 1, {t: [*b, kept if t == "sections" else name] for t, b in batches.items()})
         return self.spark.read.parquet(f"{self.root}/reports/batch={name}").select(*REPORT)
 
     def compact(self) -> None:
