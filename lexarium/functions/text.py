@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StringType, StructField, StructType
 
 #: Terms are ASCII words, digit runs and runs of Han characters.
 TERM = "([a-z][a-z0-9_.-]*|[0-9]+|[㐀-鿿]+)"
@@ -203,8 +203,62 @@ def unpacked(stored: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(_starts(sizes)), pa.array(values), mask=pc.is_null(stored))
 
 
+#: Different entries that a vector may have for a byte to tell them apart.
+LEVELS = 256
+
+
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of ``values``, each of so many bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(_starts(sizes)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _leveled(values: np.ndarray, n: int) -> pa.StructArray:
+    """``leveled`` of ``n`` vectors of one length; if one of them has more than LEVELS different entries, all stay as they are."""
+    bits = values.view(np.uint32).reshape(n, -1)
+    ranked = np.sort(bits, axis=1)
+    first = np.ones(bits.shape, bool)
+    first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    counts = first.sum(axis=1)
+    most = counts.max(initial=0)
+    if most > LEVELS:
+        return pa.StructArray.from_arrays([_binaries(bits, np.full(n, 4 * bits.shape[1])), pa.nulls(n, pa.binary())], ["levels", "places"])
+    levels, places = np.full((n, most), np.iinfo(np.uint32).max, np.uint32), np.zeros(bits.shape, np.uint8)
+    levels[np.arange(most) < counts[:, None]] = ranked[first]
+    for k in range(most - 1):
+        places += bits > levels[:, k:k + 1]
+    return pa.StructArray.from_arrays([_binaries(ranked[first], 4 * counts), _binaries(places, np.full(n, bits.shape[1]))], ["levels", "places"])
+
+
+@F.arrow_udf(StructType([StructField("levels", BinaryType()), StructField("places", BinaryType())]))
+def leveled(vectors: pa.Array) -> pa.Array:
+    """Each vector as its different entries, in rising order of their bits, and a byte for each entry that says which; without these bytes the entries follow as they are.
+
+    Vectors of counts have few different entries: a file takes two thirds of what it takes with ``packed`` ones.
+    """
+    values, sizes = _entries(vectors)
+    values, starts = np.ascontiguousarray(values, np.float32), _starts(sizes)
+    made, lo = [pa.array([], pa.struct([("levels", pa.binary()), ("places", pa.binary())]))], 0
+    while lo < len(sizes):
+        hi = lo + 1
+        while hi < min(len(sizes), lo + TEXTS_AT_ONCE) and sizes[hi] == sizes[lo]:
+            hi += 1
+        made.append(_leveled(values[starts[lo]:starts[hi]], hi - lo))
+        lo = hi
+    return pc.if_else(pc.is_valid(vectors), pa.concat_arrays(made), pa.scalar(None, made[0].type))
+
+
+@F.arrow_udf(BinaryType())
+def unleveled(stored: pa.Array) -> pa.Array:
+    """``packed`` vectors of ``leveled`` ones."""
+    levels, places = (stored.field(c).to_pylist() for c in ("levels", "places"))
+    rows = (v if p is None else np.frombuffer(v, np.uint32)[np.frombuffer(p, np.uint8)].tobytes() for v, p in zip(levels, places))
+    return pa.array([v if there else None for v, there in zip(rows, pc.is_valid(stored).to_pylist())], pa.binary())
+
+
 def dimensions(vectors: DataFrame, name: str = "vector") -> Column:
-    """How many entries each vector has, be it an array or packed."""
+    """How many entries each vector has, be it an array, packed or leveled."""
+    if isinstance(vectors.schema[name].dataType, StructType):
+        return F.coalesce(F.octet_length(f"{name}.places"), (F.octet_length(f"{name}.levels") / 4).cast("int"))
     return (F.octet_length(name) / 4).cast("int") if vectors.schema[name].dataType == BinaryType() else F.size(name)
 
 
